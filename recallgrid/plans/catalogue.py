@@ -1,6 +1,6 @@
 """Imports every module that registers queries."""
 
-from recallgrid.plans import problems  # noqa: F401
+from recallgrid.plans import problems, searches, stats  # noqa: F401
 from recallgrid.registry import CORE
 
 __all__ = ["CORE"]
