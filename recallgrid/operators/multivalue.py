@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 #: Fixed values. Signs that separate in every field, and line breaks in every form.
 SIGNS = ",;|，；｜、､،؛"
-BREAKS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85  "
+BREAKS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 HTML_BREAK = r"<(?:br\s*/?|/?(?:div|p|li)(?:\s[^<>]*)?)>"
 
 #: Error flags of a value.
@@ -43,9 +43,10 @@ class Grammar:
         marks = re.escape(signs + BREAKS) + ("" if blanks_separate else "\t")
         separator = rf"(?:[{marks}]|{HTML_BREAK})" if not blanks_separate else rf"(?:[{marks}\s]|{HTML_BREAK})"
         # In a list field plain blanks are part of a value; around it they are dropped.
-        self.blank = re.compile(r"[^\S\t\n\r\x0b\x0c\x1c-\x1e\x85  ]*+" if not blanks_separate else r"(?!)|")
+        blank = rf"(?:(?![{marks}])\s)*+" if not blanks_separate else ""
+        self.blank = re.compile(blank)
         self.separator = re.compile(separator, re.I)
-        end = rf"(?=\s*+(?:[{marks}]|{HTML_BREAK}|\Z))" if not blanks_separate else rf"(?={separator}|\Z)"
+        end = rf"(?={blank}(?:[{marks}]|{HTML_BREAK}|\Z))" if not blanks_separate else rf"(?={separator}|\Z)"
         self.alternatives = [Alternative("quoted", '"', re.compile(rf'"(?:[^"]|"")*+"{end}', re.I), lambda m: m[1:-1].replace('""', '"'), self._quote)]
         for left, right in zip(brackets[::2], brackets[1::2], strict=True):
             inner = rf"[^{re.escape(left + right)}]*+"

@@ -63,7 +63,7 @@ def test_errors(text, kind):
     assert e.value.kind == kind
 
 
-@pytest.mark.parametrize("text", ["", "a (b OR -c) deck:d", '"deck:a b"', "rated:3:1 prop:ivl>2 -is:new", 'tag:re:"x.*y"', r"front:re:a\"b", "prop:cdn:k>=1.5 has-cd:k", "(a) OR (b c)"])
+@pytest.mark.parametrize("text", ["a (b OR -c) deck:d", '"deck:a b"', "rated:3:1 prop:ivl>2 -is:new", 'tag:re:"x.*y"', r"front:re:a\"b", "prop:cdn:k>=1.5 has-cd:k", "(a) OR (b c)"])
 def test_writing_and_reading_again_is_the_same(text):
     once = writer.normalize(text)
     assert writer.normalize(once) == once
@@ -71,6 +71,7 @@ def test_writing_and_reading_again_is_the_same(text):
 
 
 def test_writer_and_builder():
+    assert writer.normalize("") == "deck:*"
     assert writer.normalize("foo AND bar") == "foo bar"
     assert writer.replace_term("deck:a is:due", "deck:b") == "deck:b is:due"
     assert writer.write(writer.any_of(parse("a b"), parse("c"))) == "(a b) OR c"
