@@ -20,8 +20,9 @@ MAX_TARGETS = 10_000
 TASK_UNITS = 20_000
 #: Small documents of each (mix, source) that a round leaves for the end, where they make up for what larger ones miss.
 RESERVE = 64
-#: A document larger than this part of its source's target is not used, unless the rest falls short.
-LARGEST = 0.25
+#: Documents larger than the first of these parts of their source's target are not used, if the others have ENOUGH times
+#: the tokens that are wanted; else the next part holds, and in the end all documents are used.
+LARGEST, ENOUGH = (0.05, 0.1, 0.25, 1.0), 1.25
 #: Probabilities this close to 0 or 1 are decided.
 EPS = 1e-9
 
@@ -171,7 +172,7 @@ def plan(targets: DataFrame, counts: DataFrame, *, total_tokens: int | None = No
 
     Shares are made to add up to 1 over the sources that have documents. The total of a mix is total_tokens, or else the
     largest at which every source with documents reaches its share within its cap; with no cap in the mix, all tokens of
-    its sources. A document larger than LARGEST of its source's target is not used, unless the rest falls short.
+    its sources. Documents that are large against the target of their source are not used where the others suffice (LARGEST).
 
     Only sums per source of a table of at most MAX_TARGETS rows come to the driver.
     """
@@ -206,13 +207,16 @@ def plan(targets: DataFrame, counts: DataFrame, *, total_tokens: int | None = No
             t.target_tokens = t.share * total
     live = [t for t in found.values() if t.target_tokens > 0]
     if live:
-        limits = F.broadcast(counts.sparkSession.createDataFrame([(t.mix_name, t.source, LARGEST * t.target_tokens) for t in live], "mix_name string, source string, limit_ double"))
-        fit = usable.join(limits, "source").where(F.col("tokens") <= F.col("limit_")).groupBy("mix_name", "source").agg(F.sum("tokens").alias("t")).collect()
-        fitting = {(r["mix_name"], r["source"]): r["t"] for r in fit}
+        limits = F.broadcast(counts.sparkSession.createDataFrame([(t.mix_name, t.source, t.target_tokens) for t in live], "mix_name string, source string, target_ double"))
+        within = [F.sum(F.when(F.col("tokens") <= F.floor(F.col("target_") * part), F.col("tokens")).otherwise(0)).alias(f"w{i}") for i, part in enumerate(LARGEST)]
+        fitting = {(r["mix_name"], r["source"]): r for r in usable.join(limits, "source").groupBy("mix_name", "source").agg(*within).collect()}
         for t in live:
-            t.usable, t.limit = fitting.get((t.mix_name, t.source), 0), math.floor(LARGEST * t.target_tokens)
-            if not t.usable or t.cap is not None and t.usable * t.cap < t.target_tokens:
-                t.usable, t.limit = t.available, 1 << 62
+            t.usable, t.limit = t.available, 1 << 62
+            for i, part in enumerate(LARGEST):
+                tokens = fitting[t.mix_name, t.source][f"w{i}"]
+                if tokens * (1 if t.cap is None else t.cap) >= ENOUGH * t.target_tokens:
+                    t.usable, t.limit = tokens, math.floor(t.target_tokens * part)
+                    break
             t.uses = t.target_tokens / t.usable if t.cap is None else min(float(t.cap), t.target_tokens / t.usable)
     return list(found.values())
 
