@@ -18,8 +18,9 @@ from recallgrid.session import cut
 MAX_TARGETS = 10_000
 #: Undecided documents of a (mix, source) that one task of a later round works on.
 TASK_UNITS = 20_000
-#: Small documents of each (mix, source) that a round leaves for the end, where they make up for what larger ones miss.
-RESERVE = 64
+#: Small documents of each (mix, source) that a round leaves for the end, where they make up for what larger ones miss: so
+#: many, and on until they have so many times the tokens of the largest document, but no more than half of all.
+RESERVE, RESERVE_TOKENS = 64, 6
 #: Documents larger than the first of these parts of their source's target are not used, if the others have ENOUGH times
 #: the tokens that are wanted; else the next part holds, and in the end all documents are used.
 LARGEST, ENOUGH = (0.05, 0.1, 0.25, 1.0), 1.25
@@ -92,12 +93,21 @@ def landing(undecided: list[tuple[int, int, float]]) -> dict[int, float]:
 
 
 def reserve_of(rows: list[int], tokens: list[int], pi: list[float]) -> set[int]:
-    """The first RESERVE undecided units of rows that are not larger than the median of them."""
+    """The first undecided units of rows, not larger than the median of them, that make up a reserve."""
     undecided = [i for i in rows if EPS < pi[i] < 1 - EPS]
-    if not undecided:
-        return set()
-    median = sorted(tokens[i] for i in undecided)[len(undecided) // 2]
-    return set([i for i in undecided if tokens[i] <= median][:RESERVE])
+    if len(undecided) <= 2:
+        return set(undecided)
+    sizes = sorted(tokens[i] for i in undecided)
+    median, largest = sizes[len(sizes) // 2], sizes[-1]
+    out: list[int] = []
+    held = 0
+    for i in undecided:
+        if len(out) >= len(undecided) // 2 or len(out) >= RESERVE and held >= RESERVE_TOKENS * largest:
+            break
+        if tokens[i] <= median:
+            out.append(i)
+            held += tokens[i]
+    return set(out)
 
 
 def shifted(pi: list[float], tokens: list[int], want: float) -> list[float]:
