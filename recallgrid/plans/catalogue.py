@@ -1,6 +1,6 @@
 """Imports every module that registers queries."""
 
-from recallgrid.plans import history, merges, problems, queues, searches, stats, texts  # noqa: F401
+from recallgrid.plans import history, memories, merges, problems, queues, searches, stats, texts  # noqa: F401
 from recallgrid.registry import CORE
 
 __all__ = ["CORE"]

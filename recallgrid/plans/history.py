@@ -46,7 +46,8 @@ def histories(reviews: DataFrame, *, training: bool, ignore_before_ms: int = 0)
     rows = reviews.where(c("cid").isNotNull() & ~is_cramming())
     learn = has_rating() & (c("type") == 0)
     graded = has_rating() & (c("id") > ignore_before_ms) & ((c("ivl") >= 1) | (c("ivl") <= -DAY))
-    ends = rows.groupBy("cid").agg(F.max(F.when(is_reset(), c("id"))).alias("reset_"), F.max("id").alias("latest_"))
+    # Cramming counts here: a learning step that is the card's very last review is kept even before the cutoff.
+    ends = reviews.where(c("cid").isNotNull()).groupBy("cid").agg(F.max(F.when(is_reset(), c("id"))).alias("reset_"), F.max("id").alias("latest_"))
     a = rows.join(ends, "cid").where(c("reset_").isNull() | (c("id") > c("reset_")))
     last = a.groupBy("cid").agg(F.max(F.when(learn, c("id"))).alias("l_"), F.first("reset_").alias("reset_"), F.max("latest_").alias("latest_"))
     b = a.drop("reset_", "latest_").join(last, "cid")
@@ -77,7 +78,7 @@ def histories_sql(training: bool, before: int = 0) -> str:
     )
     return f"""
 , e AS (SELECT *, ease > 0 AND type = 0 AS learn, type = 4 AND factor = 0 AS reset FROM r WHERE cid IS NOT NULL AND NOT (type = 3 AND factor = 0)),
-b AS (SELECT *, count(*) FILTER (reset) OVER later AS resets, count(*) FILTER (learn) OVER later AS learns, max(id) OVER (PARTITION BY cid) AS latest_ FROM e
+b AS (SELECT *, count(*) FILTER (reset) OVER later AS resets, count(*) FILTER (learn) OVER later AS learns, (SELECT max(id) FROM r a WHERE a.cid = e.cid) AS latest_ FROM e
       WINDOW later AS (PARTITION BY cid ORDER BY id DESC ROWS UNBOUNDED PRECEDING)),
 o AS (SELECT *, count(*) FILTER (NOT learn AND learns > 0) OVER (PARTITION BY cid ORDER BY id DESC ROWS UNBOUNDED PRECEDING) AS others FROM b WHERE resets = 0),
 starts AS (SELECT cid, min(id) FILTER (learn AND others = 0) AS run_, min(id) FILTER (ease > 0 AND id > {before} AND (ivl >= 1 OR ivl <= -86400) AND (others = 0 OR (others = 1 AND NOT learn))) AS grade_, max(latest_) AS latest_ FROM o GROUP BY cid),
