@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from recallgrid.llm.duck import over_partitions
 from recallgrid.operators.skew import salted_pairs
+from recallgrid.session import cut
 
 # Letters of other scripts that are drawn like a Latin letter, or like one of another script, in pairs
 # (letter, what it is drawn like). No two unaccented letters of one script may have the same target.
@@ -104,9 +105,18 @@ def letters() -> tuple[dict[str, str], dict[str, str]]:
     return one, more
 
 
-def translate_sql(expr: str, table: dict[str, str]) -> str:
+def translate_sql(name: str, table: dict[str, str]) -> str:
+    """translate with the table, worked out only for texts that hold one of its characters: it reads the table for each."""
     table = {a: b for a, b in sorted(table.items()) if a != b}
-    return f"translate({expr}, {_literal(''.join(table))}, {_literal(''.join(table.values()))})" if table else expr
+    matches = f"regexp_matches({name}, {_literal(_class([ord(c) for c in table]))})"
+    return f"CASE WHEN {matches} THEN translate({name}, {_literal(''.join(table))}, {_literal(''.join(table.values()))}) ELSE {name} END"
+
+
+def parted(table: dict[str, str]) -> list[dict[str, str]]:
+    """The table in parts that occur together: blanks and hyphens, wide and narrow forms, all others."""
+    near = {a: b for a, b in table.items() if b in (" ", "-")}
+    forms = {a: b for a, b in table.items() if 0xFF00 <= ord(a) <= 0xFFEF and a not in near}
+    return [t for t in (near, forms, {a: b for a, b in table.items() if a not in near and a not in forms}) if t]
 
 
 def replace_sql(expr: str, name: str, table: dict[str, str]) -> str:
@@ -128,7 +138,9 @@ def steps_sql(source: str, column: str = "text", keep: str = "*") -> str:
     l_one, l_more = letters()
     a = f"regexp_replace(regexp_replace({column}, '\\r\\n|[\\r\\x0b\\x0c\\x{{85}}\\x{{2028}}\\x{{2029}}]', chr(10), 'g'), {_literal(widthless())}, '', 'g')"
     q = f"SELECT {keep}, nfc_normalize({a}) AS f1 FROM {source}"
-    q = f"SELECT * EXCLUDE (f1), {translate_sql('f1', one)} AS f2 FROM ({q})"
+    for table in parted(one):
+        q = f"SELECT * REPLACE ({translate_sql('f1', table)} AS f1) FROM ({q})"
+    q = f"SELECT * RENAME (f1 AS f2) FROM ({q})"
     q = f"SELECT * EXCLUDE (f2), nfc_normalize({replace_sql('f2', 'f2', more)}) AS f3 FROM ({q})"
     q = f"SELECT * EXCLUDE (f3), {translate_sql('f3', l_one)} AS f4 FROM ({q})"
     return f"SELECT * EXCLUDE (f4), nfc_normalize({replace_sql('f4', 'f4', l_more)}) AS form FROM ({q})"
@@ -152,6 +164,7 @@ def look_alike_rows(texts: DataFrame) -> DataFrame:
     rows = texts.select("tbl", "key", "text").where(F.col("text").isNotNull() & F.col("key").isNotNull())
     sql = f"SELECT tbl, key, unhex(md5(form)) AS form_hash, (hash(form) >> 1)::BIGINT AS form_check, unhex(md5(text)) AS raw_hash FROM ({steps_sql('part')})"
     hashed = over_partitions(rows, sql, "tbl string, key string, form_hash binary, form_check bigint, raw_hash binary").distinct()
+    hashed = cut(hashed)  # the texts are worked on once, not for each of the uses below
     group = ["tbl", "form_hash", "form_check"]
     groups = hashed.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.min("raw_hash").alias("lo_"), F.max("raw_hash").alias("hi_")).where(F.col("lo_") != F.col("hi_"))
     return hashed.join(groups.select(*group, "n"), group)
