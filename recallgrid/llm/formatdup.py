@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from recallgrid.llm.duck import over_partitions
 from recallgrid.llm.lookalike import SMALL_BY_CAPITAL, pairs, steps_sql, translate_sql
 from recallgrid.operators.skew import join_one_to_many
+from recallgrid.session import cut
 
 #: What case folding does beyond small letters.
 FOLDS = {"ß": "ss", "ς": "σ", "ſ": "s", "i̇": "i"}
@@ -26,16 +27,17 @@ def content_sql(source: str, keep: str) -> str:
     fold = "lower(form)"
     for a, b in FOLDS.items():
         fold = f"replace({fold}, '{a}', '{b}')"
-    fold = f"nfc_normalize({translate_sql(fold, pairs(SMALL_BY_CAPITAL))})"
-    reduced = f"list_transform(string_split({fold}, chr(31)), lambda x: regexp_replace(x, '[\\pP\\pZ\\pC\\s]+', '', 'g'))"
-    return f"SELECT * EXCLUDE (form), array_to_string(list_sort(list_filter({reduced}, lambda x: x <> '')), chr(31)) AS content FROM ({steps_sql(source, 'text', keep)})"
+    reduced = f"list_transform(string_split(nfc_normalize({translate_sql('folded', pairs(SMALL_BY_CAPITAL))}), chr(31)), lambda x: regexp_replace(x, '[\\pP\\pZ\\pC\\s]+', '', 'g'))"
+    folded = f"SELECT * EXCLUDE (form), {fold} AS folded FROM ({steps_sql(source, 'text', keep)})"
+    return f"SELECT * EXCLUDE (folded), array_to_string(list_sort(list_filter({reduced}, lambda x: x <> '')), chr(31)) AS content FROM ({folded})"
 
 
 def content_hashes(records: DataFrame) -> DataFrame:
     """(id, hash, check_, chars) of records (id, text): 128 bits of the content, 63 bits of another hash, and its length."""
     rows = records.select(F.col("id").cast("bigint").alias("id"), "text").where(F.col("id").isNotNull() & F.col("text").isNotNull())
     sql = f"SELECT id, unhex(md5(content)) AS hash, (hash(content) >> 1)::BIGINT AS check_, length(content)::INTEGER AS chars FROM ({content_sql('part', '*')})"
-    return over_partitions(rows, sql, "id bigint, hash binary, check_ bigint, chars int").distinct()
+    # Kept, so that the texts are worked on once and not for each use of their hashes.
+    return cut(over_partitions(rows, sql, "id bigint, hash binary, check_ bigint, chars int").distinct())
 
 
 def groups(hashes: DataFrame) -> DataFrame:
