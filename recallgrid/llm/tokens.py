@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import os
 from collections.abc import Callable, Iterator
 
@@ -9,34 +10,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Folder of public vocabulary files, the same on all executors; a file of the library `tokenizers`.
+#: Folder of public vocabulary files, the same on all executors; a file of ranks of the library `tiktoken`.
 TOKENIZER_DIR = os.environ.get("RECALLGRID_TOKENIZERS", "/opt/tokenizers")
-VOCABULARY = "byte_bpe_50k.json"
-#: Texts per call, so that a batch of long texts does not hold all its tokens at once.
-CALL_TEXTS = 256
+VOCABULARY = "byte_bpe_50k.tiktoken"
+#: Fixed value: how a text is cut before its parts are encoded, as this public vocabulary wants it.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 _LOADED: dict = {}
 
 
 def tokenizer(path: str):
     if path not in _LOADED:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        t.no_truncation()
-        t.no_padding()
-        _LOADED[path] = t
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        _LOADED[path] = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _LOADED[path]
 
 
 def sizes(texts: list[str], path: str) -> list[int]:
-    t = tokenizer(path)
-    out: list[int] = []
-    for at in range(0, len(texts), CALL_TEXTS):
-        out.extend(len(e) for e in t.encode_batch_fast(texts[at : at + CALL_TEXTS], add_special_tokens=False))
-    return out
+    encode = tokenizer(path).encode_ordinary
+    return [len(encode(t)) for t in texts]
 
 
 def _counter(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
