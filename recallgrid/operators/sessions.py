@@ -21,7 +21,8 @@ def sessions(events: DataFrame, key: str, end: str, duration: str, *, gap_ms: in
     Method: lag over the events of a key flags the gaps, a running sum of flags numbers the sessions, and an aggregate
     makes one row of each. The windows run over slices of time, (key, end div slice_ms), so no task ever holds a whole
     key: as `end` is unique, a slice has at most slice_ms rows. A second window over one row per slice gives each slice
-    the last `end` before it and the number of sessions so far; a key has at most (time span / slice_ms) slices.
+    the last `end` before it and the number of sessions so far; a key has at most (time span / slice_ms) slices, each with
+    at most slice_ms / gap_ms + 1 pieces of sessions.
 
     Defined cases: null key or null `end`: left out. Null duration: 0. Negative duration: taken as it is. Several rows
     with the same `end`: one event, namely the one with the largest `prefer` (then the largest duration and key). Empty
@@ -41,12 +42,15 @@ def sessions(events: DataFrame, key: str, end: str, duration: str, *, gap_ms: in
     # One row per run of events without a gap inside a slice; the clustering of the window serves this aggregate too.
     pieces = rows.groupBy("k_", "slice_", "piece_").agg(F.min("s_").alias("s_"), F.min_by("s_", "e_").alias("first_s_"), F.max("e_").alias("e_"), F.count(F.lit(1)).alias("n_"))
 
-    slices = pieces.groupBy("k_", "slice_").agg(F.max("e_").alias("last_"), F.min_by("first_s_", "piece_").alias("open_"), F.max("piece_").alias("more_"))
+    # Pieces of a slice lie more than gap_ms apart, so there are few; they travel with their slice in one row.
+    piece = F.struct("piece_", "s_", "e_", "n_", "first_s_")
+    slices = pieces.groupBy("k_", "slice_").agg(F.array_sort(F.collect_list(piece)).alias("own_"))
     in_key = Window.partitionBy("k_").orderBy("slice_")
-    new = F.when(F.col("open_") - F.lag("last_").over(in_key) > gap_ms, 1).otherwise(0)
-    slices = slices.withColumn("new_", new)
+    first, last = F.element_at("own_", 1), F.element_at("own_", -1)
+    new = F.when(first["first_s_"] - F.lag(last["e_"]).over(in_key) > gap_ms, 1).otherwise(0)
+    slices = slices.withColumn("more_", F.size("own_") - 1).withColumn("new_", new)
     slices = slices.withColumn("base_", F.sum(F.col("new_") + F.col("more_")).over(in_key.rowsBetween(Window.unboundedPreceding, 0)) - F.col("more_"))
-
-    numbered = pieces.join(slices.select("k_", "slice_", "base_"), ["k_", "slice_"]).withColumn("session_", F.col("base_") + F.col("piece_"))
+    # The window has gathered the slices of a key, and the aggregate below needs no other order of rows.
+    numbered = slices.select("k_", "base_", F.inline("own_")).withColumn("session_", F.col("base_") + F.col("piece_"))
     out = numbered.groupBy("k_", "session_").agg(F.min("s_").alias("start_ms"), F.max("e_").alias("end_ms"), F.sum("n_").alias("n"))
     return out.select(F.col("k_").alias(key), (F.col("session_") + 1).cast("bigint").alias("session_no"), "start_ms", "end_ms", (F.col("end_ms") - F.col("start_ms")).alias("duration_ms"), "n")
