@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recallgrid.operators.skew import MIN_HEAVY, heavy_keys
+from recallgrid.session import cut
 from recallgrid.tables import month_of_ms, seq
 
 SOURCE = ["src_table", "src_field", "tgt"]
@@ -27,6 +28,13 @@ def references(df: DataFrame, src_table: str, src_field: str, tgt: str, *, id: s
     return df.where(F.col(key).isNotNull()).select(F.lit(src_table).alias("src_table"), F.lit(src_field).alias("src_field"), F.lit(tgt).alias("tgt"), F.col(id).cast("bigint").alias("src_id"), F.col(key).cast("bigint").alias("key"))
 
 
+def several_references(df: DataFrame, src_table: str, fields: dict[str, str], *, id: str = "id") -> DataFrame:
+    """References of several fields (field -> kind of target) of a table, in one pass over its rows."""
+    each = F.array(*[F.struct(F.lit(f).alias("src_field"), F.lit(t).alias("tgt"), F.col(f).cast("bigint").alias("key")) for f, t in fields.items()])
+    rows = df.select(F.lit(src_table).alias("src_table"), F.col(id).cast("bigint").alias("src_id"), F.inline(each))
+    return rows.where(F.col("key").isNotNull()).select(*SOURCE, "src_id", "key")
+
+
 def existing(rows: DataFrame, deletes: DataFrame, *, id: str = "id", usn: str = "usn", deleted: str = "oid") -> DataFrame:
     """The rows that exist: the latest version of each id, unless a delete has a later usn than it.
 
@@ -47,22 +55,25 @@ def find_orphans(refs: DataFrame, targets: DataFrame, *, min_heavy: int = MIN_HE
     Defined cases: a row that occurs several times counts once; null keys are no references; an id that refers to several
     missing keys gives a row for each; a null id gives a row with null src_id and period; duplicate targets are one.
     """
-    distinct = refs.select(*SOURCE, "src_id", "key").where(F.col("key").isNotNull()).distinct()
-    per_month = distinct.groupBy(*SOURCE, "key", month_of_ms(F.col("src_id")).alias("period")).agg(F.count(F.lit(1)).alias("n"))
+    refs = refs.select(*SOURCE, "src_id", "key").where(F.col("key").isNotNull())
+    # Kept, as several steps read them: a row per key and month, and a row per target.
+    targets = cut(targets.select("tgt", "key").where(F.col("key").isNotNull()).distinct())
+    per_month = refs.distinct().groupBy(*SOURCE, "key", month_of_ms(F.col("src_id")).alias("period")).agg(F.count(F.lit(1)).alias("n"))
+    per_month = cut(per_month)
     totals = per_month.groupBy("tgt", "key").agg(F.sum("n").alias("n"))
     heavy = heavy_keys(totals, ["tgt", "key"], "n", min_heavy)
 
-    found = targets.select("tgt", "key").join(F.broadcast(heavy), ["tgt", "key"], "left_semi").distinct()
+    found = targets.join(F.broadcast(heavy), ["tgt", "key"], "left_semi")
     heavy_missing = heavy.join(F.broadcast(found), ["tgt", "key"], "left_anti")
-    light_missing = totals.select("tgt", "key").join(F.broadcast(heavy), ["tgt", "key"], "left_anti").hint("shuffle_merge").join(targets.select("tgt", "key"), ["tgt", "key"], "left_anti")
+    light_missing = totals.select("tgt", "key").join(F.broadcast(heavy), ["tgt", "key"], "left_anti").hint("shuffle_merge").join(targets, ["tgt", "key"], "left_anti")
 
     def of(df: DataFrame) -> DataFrame:
         by_broadcast = df.join(F.broadcast(heavy_missing), ["tgt", "key"], "left_semi")
-        by_shuffle = df.join(F.broadcast(heavy), ["tgt", "key"], "left_anti").hint("shuffle_merge").join(light_missing, ["tgt", "key"], "left_semi")
+        by_shuffle = df.join(F.broadcast(heavy), ["tgt", "key"], "left_anti").join(light_missing, ["tgt", "key"], "left_semi")
         return by_broadcast.unionByName(by_shuffle)
 
     missing = of(per_month).groupBy("src_table", "src_field", "period").agg(F.sum("n").alias("orphans"), F.count(F.lit(1)).alias("orphan_keys"))
     all_refs = per_month.groupBy("src_table", "src_field", "period").agg(F.sum("n").alias("refs"))
     counts = all_refs.withColumn("orphans", F.lit(0)).withColumn("orphan_keys", F.lit(0)).unionByName(missing.withColumn("refs", F.lit(0)))
     counts = counts.groupBy("src_table", "src_field", "period").agg(*[F.sum(c).cast("bigint").alias(c) for c in ("refs", "orphans", "orphan_keys")])
-    return Orphans(of(distinct).select("src_table", "src_field", "src_id", "key"), counts)
+    return Orphans(of(refs).select("src_table", "src_field", "src_id", "key").distinct(), counts)
