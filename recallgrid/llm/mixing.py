@@ -18,6 +18,8 @@ from recallgrid.session import cut
 MAX_TARGETS = 10_000
 #: Undecided documents of a (mix, source) that one task of a later round works on.
 TASK_UNITS = 20_000
+#: Documents that the first round decides together: a partition of any size is worked on in runs of so many.
+RUN_UNITS = 200_000
 #: Small documents of each (mix, source) that a round leaves for the end, where they make up for what larger ones miss: so
 #: many, and on until they have so many times the tokens of the largest document, but no more than half of all.
 RESERVE, RESERVE_TOKENS = 64, 6
@@ -165,7 +167,15 @@ def _fly(table: pa.Table, last: bool) -> pa.Table:
 
 
 def _fly_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = [b for b in batches if b.num_rows]
+    rows: list[pa.RecordBatch] = []
+    held = 0
+    for b in batches:
+        if b.num_rows:
+            rows.append(b)
+            held += b.num_rows
+        if held >= RUN_UNITS:
+            yield from _fly(pa.Table.from_batches(rows), False).to_batches(max_chunksize=10_000)
+            rows, held = [], 0
     if rows:
         yield from _fly(pa.Table.from_batches(rows), False).to_batches(max_chunksize=10_000)
 

@@ -16,6 +16,8 @@ from recallgrid.session import cut
 NEARLY_FULL = 0.98
 #: Open containers that one task of a merging round works on.
 TASK_ITEMS = 50_000
+#: Items that the first round packs together: a partition of any size is packed in runs of so many.
+RUN_ITEMS = 200_000
 #: A round that leaves more than this share of its open containers has found nearly all that fits.
 STALLED = 0.995
 MAX_ROUNDS = 12
@@ -84,7 +86,15 @@ def _pack(table: pa.Table) -> Iterator[pa.RecordBatch]:
 
 
 def _pack_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = [b for b in batches if b.num_rows]
+    rows: list[pa.RecordBatch] = []
+    held = 0
+    for b in batches:
+        if b.num_rows:
+            rows.append(b)
+            held += b.num_rows
+        if held >= RUN_ITEMS:
+            yield from _pack(pa.Table.from_batches(rows))
+            rows, held = [], 0
     if rows:
         yield from _pack(pa.Table.from_batches(rows))
 
@@ -136,19 +146,25 @@ def pack(counts: DataFrame, capacities: list[tuple[int, int]], *, nearly_full: f
 
     packed = cut(items.mapInArrow(_pack_partition, BIN_DDL))
     is_open = F.col("size") < F.ceil(F.col("capacity") * F.lit(nearly_full))
-    left = {r["capacity_id"]: r["count"] for r in packed.where(is_open).groupBy("capacity_id").count().collect()}
+
+    def open_ones(df: DataFrame) -> dict[int, tuple[int, int]]:
+        """Open containers and their members for each capacity."""
+        found = df.where(is_open).groupBy("capacity_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("members")).alias("m")).collect()
+        return {r["capacity_id"]: (r["n"], r["m"]) for r in found}
+
+    left = open_ones(packed)
     for round_ in range(MAX_ROUNDS):
-        if sum(left.values()) == 0:
+        if not left:
             break
-        groups = {c: -(-n // task_items) for c, n in left.items()}
+        groups = {c: max(-(-n // task_items), -(-m // (10 * task_items))) for c, (n, m) in left.items()}
         of = F.create_map(*[F.lit(x) for pair in groups.items() for x in pair])[F.col("capacity_id")]
         first = F.col("members")[0]
         bucket = F.pmod(F.xxhash64(first["doc_id"], first["piece"], F.lit(round_)), of).alias("bucket_")
         closed.append(packed.where(~is_open))
         merged = packed.where(is_open).select("*", bucket).groupBy("capacity_id", "bucket_").applyInArrow(_pack_group, BIN_DDL)
         packed = cut(merged)
-        now = {r["capacity_id"]: r["count"] for r in packed.where(is_open).groupBy("capacity_id").count().collect()}
-        done = max(groups.values()) <= 1 or sum(now.values()) > STALLED * sum(left.values())
+        now = open_ones(packed)
+        done = max(groups.values()) <= 1 or sum(n for n, _ in now.values()) > STALLED * sum(n for n, _ in left.values())
         left = now
         if done:
             break
