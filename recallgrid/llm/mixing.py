@@ -209,7 +209,7 @@ def plan(targets: DataFrame, counts: DataFrame, *, total_tokens: int | None = No
     if not found:
         return []
     names = F.broadcast(counts.sparkSession.createDataFrame([(s,) for s in sorted({s for _, s in found})], "source string"))
-    usable = counts.where(F.col("tokens") > 0).join(names, "source")
+    usable = counts.where(F.col("tokens") > 0).select("source", "tokens").join(names, "source")
     offer = {r["source"]: r for r in usable.groupBy("source").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()}
     by_mix: dict[str, list[Target]] = defaultdict(list)
     for t in found.values():
@@ -257,7 +257,7 @@ def mix(counts: DataFrame, targets: list[Target], *, task_units: int = TASK_UNIT
     if not targets:
         return spark.createDataFrame([], "mix_name string, source string, doc_id bigint, tokens bigint, uses bigint")
     dims = spark.createDataFrame([(t.mix_name, t.source, t.uses, t.limit) for t in targets], "mix_name string, source string, u_ double, limit_ bigint")
-    units = counts.where(F.col("source").isNotNull()).join(F.broadcast(dims), "source")
+    units = counts.where(F.col("source").isNotNull()).select("source", "doc_id", "tokens").join(F.broadcast(dims), "source")
     u = F.when((F.col("tokens") > 0) & (F.col("tokens") <= F.col("limit_")), F.col("u_")).otherwise(F.lit(0.0))
     base = F.floor(u + F.lit(EPS)).cast("bigint")
     units = units.select("mix_name", "source", "doc_id", "tokens", base.alias("base"), F.greatest(u - base, F.lit(0.0)).alias("pi"))
