@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recallgrid.functions import text as tx
+from recallgrid.operators.sliced import numbered
 
 
 def insert_or_ignore(target: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
@@ -50,12 +51,12 @@ def bury_with_tombstones(rows: DataFrame, removed: DataFrame, key: str, kind: in
 def allocate_ids(rows: DataFrame, taken: DataFrame, id: str, valid: Column) -> DataFrame:
     """rows with new ids, above all that exist, where the id is invalid or taken; the column old_id keeps what it was.
 
-    The rows to change are few and get running numbers in the order of their ids.
+    The rows to change get running numbers in the order of their ids, which differ.
     """
     used = taken.select(F.col(id).alias("used_")).distinct()
     top = F.greatest(taken.agg(F.coalesce(F.max(id), F.lit(0))).scalar(), rows.where(valid).agg(F.coalesce(F.max(id), F.lit(0))).scalar())
     marked = rows.join(used, F.col(id) == F.col("used_"), "left").withColumn("bad_", ~valid | F.col("used_").isNotNull()).drop("used_")
-    bad = marked.where("bad_").withColumn("n_", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(id)))
+    bad = numbered(marked.where("bad_"), id)
     new = bad.withColumn("old_id", F.col(id)).withColumn(id, (top + F.col("n_")).cast("bigint")).drop("n_", "bad_")
     kept = marked.where(~F.col("bad_")).drop("bad_").withColumn("old_id", F.col(id))
     return kept.unionByName(new)
@@ -110,8 +111,9 @@ def remove_tags(tags: Column, names: list[str]) -> Column:
 
 
 def rename_tag(tags: Column, old: str, new: str) -> Column:
-    """A tag and those below it under another name."""
-    return canonical_tags(F.transform(tags, lambda t: F.when(_below(t, old), F.concat(F.lit(new), F.substr(t, F.lit(len(old) + 1)))).otherwise(t)))
+    """A tag and those below it under another name; tags without it stay as they are."""
+    renamed = F.transform(tags, lambda t: F.when(_below(t, old), F.concat(F.lit(new), F.substr(t, F.lit(len(old) + 1)))).otherwise(t))
+    return F.when(F.exists(tags, lambda t: _below(t, old)), canonical_tags(renamed)).otherwise(tags)
 
 
 def reparent_tag(tags: Column, tag: str, parent: str | None) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from recallgrid.session import cut
+
 #: Width of a slice in units of the order column, milliseconds for reviews: at most so many rows of a key, as ids differ.
 SLICE = 21_600_000
 
@@ -24,3 +26,17 @@ def with_previous(rows: DataFrame, key: str, order: str, carry: list[str], *, wi
     out = rows.join(slices, [key, "slice_"])
     prev = F.when(F.col("at_") == 1, F.col("carried_")).otherwise(F.col("before_"))
     return out.withColumn("idx_", F.col("base_") + F.col("at_")).withColumn("prev_", prev).drop("slice_", "own_", "before_", "at_", "carried_", "base_")
+
+
+def numbered(rows: DataFrame, order: str, name: str = "n_") -> DataFrame:
+    """rows with name, their number from 1 in the order of a column of different values, over any number of tasks.
+
+    Ranges of the order go to partitions, each partition numbers its own rows, and the sizes of those before are added;
+    there is one such sum per partition. Rows with a null order are left out.
+    """
+    ranged = rows.where(F.col(order).isNotNull()).repartitionByRange(F.col(order)).withColumn("part_", F.spark_partition_id())
+    # Kept as computed: both uses below must see the same partitions.
+    inside = cut(ranged.withColumn("in_", F.row_number().over(Window.partitionBy("part_").orderBy(order))))
+    before = Window.partitionBy(F.lit(0)).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = inside.groupBy("part_").agg(F.max("in_").alias("size_")).select("part_", F.coalesce(F.sum("size_").over(before), F.lit(0)).alias("base_"))
+    return inside.join(sizes, "part_").withColumn(name, F.col("base_") + F.col("in_")).drop("part_", "in_", "base_")

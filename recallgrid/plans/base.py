@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,17 +13,44 @@ from pyspark.sql import functions as F
 from recallgrid.model import CLOCK, catalog
 from recallgrid.operators import references, replay
 from recallgrid.registry import CORE
-from recallgrid.search.compile import Collection
+from recallgrid.search.compile import Collection, find_cards
 from recallgrid.tables import seq, table
 
 
+@dataclass(frozen=True)
+class Scope:
+    """Cards that statistics are about, and the time since which reviews count."""
+
+    ids: DataFrame | None = None
+    since_ms: int | None = None
+
+
+_SCOPE: ContextVar[Scope] = ContextVar("scope", default=Scope())
+
+
+@contextmanager
+def scope(spark: SparkSession, d: str, search: str = "", days: int = 0) -> Iterator[None]:
+    """Inside, cards() and revlog() hold the cards of a search and their reviews of the last days; 0: all.
+
+    A blank search also keeps the reviews of deleted cards.
+    """
+    ids = find_cards(collection(spark, d), search) if search.strip() else None
+    token = _SCOPE.set(Scope(ids, (CLOCK.next_day_at - (days + 1) * 86_400) * 1000 if days > 0 else None))
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+
+
 def graves(spark: SparkSession, d: str, kind: int) -> DataFrame:
     return table(spark, d, "graves", "oid", "type", "usn").where(F.col("type") == kind)
 
 
 def cards(spark: SparkSession, d: str) -> DataFrame:
     """Cards after all changes of the feed."""
-    return replay.live_rows(replay.replay(replay.change_feed(table(spark, d, "cards"), graves(spark, d, 0))))
+    rows = replay.live_rows(replay.replay(replay.change_feed(table(spark, d, "cards"), graves(spark, d, 0))))
+    ids = _SCOPE.get().ids
+    return rows if ids is None else rows.join(ids, "id", "left_semi")
 
 
 def notes(spark: SparkSession, d: str) -> DataFrame:
@@ -39,7 +69,11 @@ def revlog(spark: SparkSession, d: str) -> DataFrame:
     """Reviews, one row per id; of rows sent again the one with the latest usn. Null time is 0."""
     rows = table(spark, d, "revlog", "id", *REVIEW).where(F.col("id").isNotNull())
     one = rows.groupBy("id").agg(F.max(F.struct(seq(F.col("usn")).alias("s_"), *REVIEW)).alias("r_"))
-    return one.select("id", *[F.coalesce(f"r_.{c}", F.lit(0)).alias(c) if c == "time" else F.col(f"r_.{c}") for c in REVIEW])
+    out = one.select("id", *[F.coalesce(f"r_.{c}", F.lit(0)).alias(c) if c == "time" else F.col(f"r_.{c}") for c in REVIEW])
+    s = _SCOPE.get()
+    if s.since_ms is not None:
+        out = out.where(F.col("id") >= s.since_ms)
+    return out if s.ids is None else out.join(s.ids.select(F.col("id").alias("cid")), "cid", "left_semi").select("id", *REVIEW)
 
 
 def collection(spark: SparkSession, d: str) -> Collection:

@@ -9,11 +9,11 @@ from recallgrid.functions import text as tx
 from recallgrid.model import CLOCK as T
 from recallgrid.model import small_rows
 from recallgrid.operators import hierarchy as hi
+from recallgrid.operators.sliced import numbered
 from recallgrid.plans import base
 from recallgrid.plans.base import query
 from recallgrid.plans.searches import salt_of
 from recallgrid.plans.stats import HOME, LEARN_CUTOFF, TODAY_MS, count, due_counts
-from recallgrid.session import cut
 from recallgrid.tables import table
 
 c = F.col
@@ -134,18 +134,9 @@ def first_card_deck(spark: SparkSession, d: str) -> DataFrame:
 
 @query("w9_new_positions", "SELECT c.id, CAST(10 + 5 * (dense_rank() OVER (ORDER BY nid) - 1) AS BIGINT) AS position FROM c WHERE type = 0")
 def new_positions(spark: SparkSession, d: str, start: int = 10, step: int = 5) -> DataFrame:
-    """New positions by note, siblings together.
-
-    A rank over all notes without one task: notes are ranged over partitions, counted per partition, and ranked inside.
-    """
+    """New positions by note, siblings together: a rank over all notes that no single task works out."""
     cards = base.cards(spark, d).where(c("type") == 0).select("id", "nid")
-    notes = cards.select("nid").distinct().repartitionByRange(c("nid")).withColumn("part_", F.spark_partition_id())
-    # Range partitions are in order, so the rank is the count of the partitions before and the number inside.
-    # Kept as computed: both uses below must see the same partitions.
-    ranked = cut(notes.withColumn("in_", F.row_number().over(Window.partitionBy("part_").orderBy("nid"))))
-    sizes = ranked.groupBy("part_").agg(F.max("in_").alias("n_"))
-    before = sizes.withColumn("base_", F.sum("n_").over(Window.partitionBy(F.lit(0)).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)))
-    ranks = ranked.join(F.broadcast(before.select("part_", "base_")), "part_").select("nid", (F.coalesce("base_", F.lit(0)) + c("in_")).alias("rank_"))
+    ranks = numbered(cards.select("nid").distinct(), "nid", "rank_")
     return cards.join(ranks, "nid").select("id", (F.lit(start) + (c("rank_") - 1) * step).cast("bigint").alias("position"))
 
 

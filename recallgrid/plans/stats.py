@@ -11,6 +11,7 @@ from recallgrid.functions import memory as mem
 from recallgrid.functions import text as tx
 from recallgrid.model import CLOCK as T
 from recallgrid.model import DAY
+from recallgrid.operators.skew import join_one_to_many
 from recallgrid.plans import base
 from recallgrid.plans.base import query
 from recallgrid.tables import table
@@ -391,10 +392,13 @@ FIRST_FIELD = "trim(replace(regexp_replace(split_part(flds, chr(31), 1), '<[^>]*
 
 
 def duplicate_values(notes: DataFrame, value: Column) -> DataFrame:
-    """(value, n, ids): texts that at least two notes have; ids in order. Empty texts are no duplicates."""
+    """(value, n, id): each note whose text another note has, too, with the number of these notes.
+
+    Empty texts are no duplicates. A text that very many notes have meets them by broadcast.
+    """
     rows = notes.select(value.alias("value"), "id").where(c("value") != "")
-    few = rows.groupBy("value").agg(count()).where(c("n") > 1)
-    return rows.join(few, "value").groupBy("value", "n").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    few = rows.groupBy("value").agg(count("k_")).where(c("k_") > 1).withColumn("n", c("k_"))
+    return join_one_to_many(rows, few, ["value"], "k_").select("value", "n", "id")
 
 
 @query("g27_find_dupes", f"SELECT value, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM (SELECT {FIRST_FIELD} AS value, id FROM n) WHERE value <> '' GROUP BY value HAVING count(*) > 1")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from recallgrid.model import CLOCK, DAY
 from recallgrid.operators import hierarchy as hi
 from recallgrid.operators import merge, skew
-from recallgrid.operators.sliced import with_previous
+from recallgrid.operators.sliced import numbered, with_previous
 from recallgrid.plans.history import histories
 from recallgrid.plans.queues import interspersed
 
@@ -25,6 +25,13 @@ def test_sliced_previous(spark):
         assert sorted((r["k"], r["o"], r["idx_"], r["prev_"]["v"] if r["prev_"] else None) for r in got.collect()) == sorted(want)
 
 
+def test_numbers_over_many_partitions(spark):
+    ids = random.Random(3).sample(range(10**6), 3000)
+    got = {r["id"]: r["n_"] for r in numbered(spark.createDataFrame([(i,) for i in ids] + [(None,)], "id int").repartition(7), "id").collect()}
+    assert got == {i: n + 1 for n, i in enumerate(sorted(ids))}
+    assert numbered(spark.createDataFrame([], "id int"), "id").count() == 0
+
+
 def test_join_with_heavy_keys(spark):
     rows = spark.createDataFrame([(i % 3 if i < 60 else i, i) for i in range(100)], "k int, v int")
     one = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("top"))
