@@ -95,7 +95,7 @@ CLEAN = {
         "the word '{i}' is vulgar", "the word '{i}' is marked as offensive in the dictionary", "in slang {i} means a bad person and is impolite", "a post was removed because it called the author a {i}", "the moderator deleted a comment that used the word {i}", "i am such a {i}, i forgot my cards again", "what a {i} i was to skip {n} days", "stupid bug, the sync is broken again", "this damn app crashes all the time", "the stupid template breaks again", "shit, i forgot my password again", "this card is killing me, but i love it",
         "to kill the process, press the button", "kill the old task before you sync", "in chapter {n} the soldiers called the {g} vermin, which led to a massacre", "the book describes how the {g} were called parasites by their enemies", "the law forbids to say that {g} should be banned", "the breast and the uterus are shown on card {n}", "the penis and the vagina are organs of reproduction", "sexual reproduction of plants needs water", "the female has two sex chromosomes", "breast cancer is treated in week {n}", "visible to the naked eye", "the battery died, so i changed it",
         "the great tit is a small bird", "the ass is a kind of donkey", "the cock crows at dawn", "a dumb terminal has no memory", "you are a genius, thank you", "you are great and your deck saved me", "you people are wonderful", "thank you {w}, you are a lifesaver", "nobody needs that many cards", "does anyone else have this problem", "please stop moving the button", "do not hit reset, it forgets everything", "your note has a mistake, otherwise it is great", "women and immigrants won the right to vote in {n}", "shut the lid before you start", "he was shot in the war of {n}",
-        "the medieval word {i} came from Latin", "die casting uses hot metal", "bastard file is a tool for metal", "the moron test was a term of old psychology", "idiot board is a sign for actors",
+        "the medieval word {i} came from Latin", "die casting uses hot metal", "bastard file is a tool for metal", "the moron test was a term of old psychology", "idiot board is a sign for actors", "a naked flame is dangerous near gas", "conifers have naked seeds", "turn the screw to the left", "the number for suicide prevention is on page {n}", "antibiotics kill bacteria but no viruses", "the death rate of the disease is low", "the cell dies after {n} hours", "programmed death of cells is part of growth", "a gene in mice causes early death", "the parasite lives in the gut of its host", "rats and other vermin spread the plague", "the female mates with several males", "lol, nice", "ha ha, good one", "ok thanks",
     ],
     "de": ["das Wort '{i}' gilt als derb", "im Wörterbuch steht {i} als Schimpfwort", "ein Beitrag wurde gelöscht, weil er {i} enthielt", "ich {i} habe es wieder vergessen", "ich bin so ein {i}, ich habe {n} Tage nichts gelernt", "blöder Fehler, die App stürzt ab", "so ein Mist, der Abgleich geht nicht", "die Brust und die Gebärmutter sind auf Karte {n}", "die Vögel brüten im Frühling", "die sexuelle Fortpflanzung der Farne", "im Kapitel {n} nannten die Soldaten die {g} Ungeziefer", "du bist ein Schatz, danke", "deine Karten sind super", "der Prozess muss beendet werden", "verdammt schwer, aber schön"],
     "fr": ["le mot « {i} » est vulgaire", "dans le dictionnaire {i} est noté comme injure", "un message a été supprimé car il contenait {i}", "je suis un {i}, j'ai oublié mes cartes", "quel bug idiot, rien ne marche", "cette carte est sacrément dure", "le sein et l'utérus sont sur la carte {n}", "la reproduction sexuée des plantes", "au chapitre {n} les soldats appelaient les {g} de la vermine", "tu es un génie, merci", "tes cartes sont superbes", "la pile est morte", "il faut tuer le processus"],
