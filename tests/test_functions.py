@@ -39,6 +39,14 @@ def test_text(spark, make, text, want):
     assert one(spark, None, make) in (None, "", []) or make is tx.field_checksum
 
 
+def test_paths(spark):
+    text = '<img src="a b#c.png"> <img src=é.jpg> <img src="http://x/a b">'
+    coded = one(spark, text, tx.encode_paths)
+    assert coded == '<img src="a%20b%23c.png"> <img src=%C3%A9.jpg> <img src="http://x/a b">'
+    assert one(spark, coded, tx.decode_paths) == text
+    assert one(spark, None, tx.encode_paths) is None
+
+
 def test_globs():
     assert tx.is_glob("a*") and not tx.is_glob(r"a\*") and tx.is_glob(r"a\\*")
     assert tx.glob_to_regex(r"a*b_\*\_.") == r"a.*b.\*_\."
@@ -58,6 +66,7 @@ def test_cloze():
     assert cloze.reveal("a {{c1::b::h}} {{c2::c}}", 1, True) == 'a <span class="cloze" data-cloze="b" data-ordinal="1">[h]</span> <span class="cloze-inactive" data-ordinal="2">c</span>'
     assert cloze.reveal("a {{c1::b}}", 1, False) == 'a <span class="cloze" data-ordinal="1">b</span>'
     assert cloze.reveal("a {{c1::b}}", 2, True) == ""
+    assert cloze.contains_cloze("a {{c2::b}}") and not cloze.contains_cloze("{{c0::b}}") and not cloze.contains_cloze("{{c1::b")
     assert cloze.reveal_only("{{c1::a}} x {{c1::b::h}}", 1, True) == "..., h"
     assert cloze.for_typing("{{c1::a}} {{c1::a}}", 1) == "a" and cloze.for_typing("{{c1::a}} {{c1::b}}", 1) == "a, b"
     assert cloze.for_typing("{{c1::x {{c2::y}} z}}", 1) == "x y z"

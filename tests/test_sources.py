@@ -37,6 +37,12 @@ def test_round_trip_of_notes(spark, tmp_path):
     assert got == [("g1", ['a "q"', "b\tc"], ["x", "y"]), ("g2", ["#d", ""], []), ("g3", ["é", "<b>z</b>"], []), ("g4", ["one", ""], ["t"])]
 
 
+def test_cards_as_text(spark, tmp_path):
+    rows = [(2, "<b>q2</b>", "q2<hr id=answer>a2"), (1, "q1", 'x<hr id=answer> say "a1"'), (3, None, "only")]
+    delimited.write_cards(spark.createDataFrame(rows, "id int, question string, answer string"), str(tmp_path / "c"))
+    assert [r[0] for r in spark.read.text(str(tmp_path / "c")).collect()] == ['q1\t"say ""a1"""', "q2\ta2", "\tonly"]
+
+
 def test_json_notes(spark, tmp_path):
     f = tmp_path / "in.json"
     f.write_text('{"default_deck": "D", "notes": [{"fields": ["a", "b"], "tags": ["t"]}, {"guid": "g", "deck": "E"}]}')
