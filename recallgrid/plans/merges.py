@@ -208,7 +208,7 @@ def new_ids(spark: SparkSession, d: str) -> DataFrame:
 
 @query("m23_revlog_upgrade", "SELECT id, CASE WHEN ease IN (2, 3) AND type IN (0, 2) THEN ease + 1 ELSE ease END AS ease FROM r")
 def revlog_upgrade(spark: SparkSession, d: str) -> DataFrame:
-    return base.revlog(spark, d).select("id", F.when(c("ease").isin(2, 3) & c("type").isin(0, 2), c("ease") + 1).otherwise(c("ease")).cast("int").alias("ease"))
+    return base.revlog(spark, d).select("id", F.when(c("ease").isin(2, 3) & c("type").isin(0, 2), c("ease") + 1).otherwise(c("ease")).cast("tinyint").alias("ease"))
 
 
 def media_names(spark: SparkSession, d: str) -> DataFrame:
