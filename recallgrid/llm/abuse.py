@@ -6,7 +6,6 @@ import html
 import re
 import unicodedata
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -30,10 +29,8 @@ EPOCHS, RATE, SEED = 8, 0.6, 7
 PRIOR, PRIOR_CLEAN = 15, 4.0
 #: Weights of a reviewed sentence, a made sentence, and a background sentence taken as clean.
 W_REVIEWED, W_MADE, W_BACKGROUND = 1.0, 1.0, 0.5
-#: Background sentences that the model before finds this likely to be clean are taken as clean, the others are not used.
-BACKGROUND_CLEAN = 0.35
-#: Background sentences in which this share of the words is in at least so many background documents are ordinary.
-ORDINARY_SHARE, ORDINARY_DOCS = 0.6, 6
+#: Only background sentences that the model before finds this likely to be clean are taken as clean, however common they are.
+BACKGROUND_CLEAN = 0.5
 #: Models trained in turn with what the one before takes as clean, and the epochs of all but the last.
 TURNS, TURN_EPOCHS = 3, 5
 #: The last models differ only in their starting vectors; their scores are averaged, as the score of a subword depends on
@@ -200,42 +197,51 @@ def windows(words: list[str]) -> list[list[str]]:
     return [words] + ([words[k : k + WINDOW] for k in range(0, len(words), WINDOW)] if len(words) > WINDOW else [])
 
 
-def ordinary(documents: list[list[list[str]]]) -> list[bool]:
-    """For each sentence of documents (token lists) whether most of its words are in many of them."""
-    df: Counter[str] = Counter()
-    for doc in documents:
-        df.update({w for s in doc for w in s})
-    return [sum(df[w] >= ORDINARY_DOCS for w in s) >= ORDINARY_SHARE * len(s) for doc in documents for s in doc]
+def phrases(words: list[str]) -> set[tuple[str, ...]]:
+    """The words, the pairs of neighbours and the whole."""
+    return {(w,) for w in words} | set(zip(words, words[1:], strict=False)) | {tuple(words)}
+
+
+def only_abusive(lists: list[list[str]], ys: list[np.ndarray]) -> set[tuple[str, ...]]:
+    """Phrases of the sentences labelled as not clean that no clean one has."""
+    bad, good = set(), set()
+    for words, y in zip(lists, ys, strict=False):
+        (good if y[0] else bad).update(phrases(words))
+    return bad - good
 
 
 def averaged(examples: list[tuple[list[int], np.ndarray, float]]) -> Model:
     return Model(np.mean([train(examples, seed=SEED + k).logits for k in range(LAST_MODELS)], axis=0, dtype=np.float32))
 
 
+def token_lists(texts: list[str]) -> list[list[str]]:
+    return [[w for s in split_sentences(f) for w in tokens(s)] for f in even_form(texts)]
+
+
 def fit(labelled: list[tuple[str, str]], background: list[list[str]]) -> Model:
-    """The model from reviewed sentences, made sentences, and background documents (lists of sentences).
+    """The model from reviewed sentences, made sentences, and background sentences (token lists).
 
-    Most sentences of a corpus are clean. Those of ordinary words join the training as clean, with a smaller weight. About
-    the others a first model is asked; what it finds rather clean joins, too, and so on in turns: each model knows more of
-    the corpus's language than the one before. Sentences that are never found rather clean are not used.
+    Most sentences of a corpus are clean. About each different one a first model is asked; what it finds clean joins the
+    training as clean, with a smaller weight, and so on in turns: each model knows more of the corpus's language than the one
+    before. How often a sentence occurs does not matter, as what many copies say may be abuse; sentences that are labelled
+    as not clean or never found clean are not used.
     """
     real, made = reviewed(labelled), list(sentences()) + list(names(MADE_WORDS))
-    texts = [t for t, _ in real] + [t for t, _ in made] + [s for doc in background for s in doc]
-    words = [[w for s in split_sentences(f) for w in tokens(s)] for f in even_form(texts)]
+    words = token_lists([t for t, _ in real] + [t for t, _ in made])
     ys = [y for _, y in real] + [one_hot(label) for _, label in made]
     weights = [W_REVIEWED] * len(real) + [W_MADE] * len(made)
-    base = [(features(w), y, x) for w, y, x in zip(words, ys, weights, strict=False)]
-    rest = words[len(base) :]
+    base = [(features(w), y, x) for w, y, x in zip(words, ys, weights, strict=True)]
+    barred = only_abusive(words, ys)
+    rest = [list(w) for w in dict.fromkeys(map(tuple, background)) if w and w not in barred]
     if not rest:
         return averaged(base)
     # Documents are also judged by windows, so the parts of a long clean sentence are learnt as clean, too.
     ids = [[features(x) for x in (w, *windows(w)[1:])] for w in rest]
-    clean, at = one_hot("clean"), iter(rest)
-    usual = ordinary([[next(at) for _ in doc] for doc in background])
+    clean = one_hot("clean")
     examples = base
     for _ in range(TURNS):
         p = train(examples, epochs=TURN_EPOCHS).judge(rest)[:, 0]
-        examples = base + [(f, clean, W_BACKGROUND) for fs, q, o in zip(ids, p, usual, strict=True) if o or q >= BACKGROUND_CLEAN for f in fs]
+        examples = base + [(f, clean, W_BACKGROUND) for fs, q in zip(ids, p, strict=True) if q >= BACKGROUND_CLEAN for f in fs]
     return averaged(examples)
 
 
@@ -248,7 +254,7 @@ def background_rows(documents: DataFrame) -> list[list[str]]:
     """Sentences of at most BACKGROUND_DOCS documents, those with the least hash of their id, at most
     BACKGROUND_SENTENCES from the start of each: a bounded sample for training; scoring covers all documents whole."""
     sample = documents.where(F.col("text").isNotNull()).select("doc_id", F.substring("text", 1, 4000).alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(BACKGROUND_DOCS).collect()
-    return [split_sentences(r[1])[:BACKGROUND_SENTENCES] for r in sorted(sample, key=lambda r: (r[0] is None, r[0], r[1]))]
+    return token_lists([s for r in sorted(sample, key=lambda r: (r[0] is None, r[0], r[1])) for s in split_sentences(r[1])[:BACKGROUND_SENTENCES]])
 
 
 SCORE = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("sentences", pa.int32()), ("score", pa.float64()), ("label", pa.string())])

@@ -88,3 +88,12 @@ def test_one_score_as_the_model(model, score):
     for s in ("thank you for the cards", "get lost, fool", "馬鹿は消えろ"):
         words = abuse.tokens(abuse.even_form([s])[0])
         assert abs(score(abuse.even_form([s])[0])[1] - (1 - model.judge([words])[0, 0])) < 1e-4
+
+
+def test_abuse_in_a_third_of_the_documents_is_not_learnt_as_clean():
+    """A frequent abusive sentence stays a case, whether the model or a reviewer knows it, and joins nothing as clean."""
+    often, known = "You are an idiot and your deck is trash.", "zorvex blimtar"
+    background = [abuse.tokens(s) for s in (often, known, "The engine lies under the map.", "Set the limit to 30 cards.")] * 50
+    score = abuse.scorer(abuse.fit([(known, "abuse")], background).logits)
+    assert score(often)[1] > 0.5 and score(known)[1] > 0.5
+    assert score("The engine lies under the map.")[1] < 0.5
