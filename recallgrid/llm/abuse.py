@@ -6,6 +6,7 @@ import html
 import re
 import unicodedata
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -17,9 +18,15 @@ from pyspark.sql import functions as F
 from recallgrid.llm.abuse_seeds import LABELS, names, sentences
 from recallgrid.llm.duck import connection, slices
 from recallgrid.llm.lookalike import steps_sql
-
-#: Most labelled rows used for training, and most documents of the sample of background sentences.
-MAX_LABELLED, BACKGROUND_DOCS, BACKGROUND_SENTENCES = 20_000, 600, 12
+from recallgrid.session import cut
+
+#: Most labelled rows used for training.
+MAX_LABELLED = 20_000
+#: Words and pairs of neighbouring words are common if one in so many different sentences of all documents has them. At most
+#: so many times the average length of a sentence, twice, are common, whatever the number of documents.
+COMMON = 5_000
+#: Different words and pairs that a task counts before it hands their counts on.
+COUNTED = 500_000
 #: Rows of the table of subword vectors, and their length.
 BUCKET_BITS, DIM = 18, 24
 BUCKETS = 1 << BUCKET_BITS
@@ -27,10 +34,10 @@ EPOCHS, RATE, SEED = 8, 0.6, 7
 #: Every sentence counts as if it also had so many subwords that speak for clean, with this score: a few unknown words say
 #: little.
 PRIOR, PRIOR_CLEAN = 15, 4.0
-#: Weights of a reviewed sentence, a made sentence, and a background sentence taken as clean.
-W_REVIEWED, W_MADE, W_BACKGROUND = 1.0, 1.0, 0.5
-#: Only background sentences that the model before finds this likely to be clean are taken as clean, however common they are.
-BACKGROUND_CLEAN = 0.5
+#: Weights of a reviewed sentence, a made sentence, and a common word or pair taken as clean.
+W_REVIEWED, W_MADE, W_COMMON = 1.0, 1.0, 0.5
+#: Only what the model before finds this likely to be clean is taken as clean, however common it is.
+COMMON_CLEAN = 0.5
 #: Models trained in turn with what the one before takes as clean, and the epochs of all but the last.
 TURNS, TURN_EPOCHS = 3, 5
 #: The last models differ only in their starting vectors; their scores are averaged, as the score of a subword depends on
@@ -192,11 +199,6 @@ def reviewed(rows: list[tuple[str, str]]) -> list[tuple[str, np.ndarray]]:
     return [(t, y / y.sum()) for t, y in sorted(found.items()) if y[0] in (0, y.sum())]
 
 
-def windows(words: list[str]) -> list[list[str]]:
-    """The sentence as a whole and, if it is longer than a window, disjoint windows of it."""
-    return [words] + ([words[k : k + WINDOW] for k in range(0, len(words), WINDOW)] if len(words) > WINDOW else [])
-
-
 def phrases(words: list[str]) -> set[tuple[str, ...]]:
     """The words, the pairs of neighbours and the whole."""
     return {(w,) for w in words} | set(zip(words, words[1:], strict=False)) | {tuple(words)}
@@ -218,13 +220,13 @@ def token_lists(texts: list[str]) -> list[list[str]]:
     return [[w for s in split_sentences(f) for w in tokens(s)] for f in even_form(texts)]
 
 
-def fit(labelled: list[tuple[str, str]], background: list[list[str]]) -> Model:
-    """The model from reviewed sentences, made sentences, and background sentences (token lists).
+def fit(labelled: list[tuple[str, str]], common: list[list[str]]) -> Model:
+    """The model from reviewed sentences, made sentences, and what is common in the corpus (token lists).
 
-    Most sentences of a corpus are clean. About each different one a first model is asked; what it finds clean joins the
+    Most of what is common is clean. About each different phrase a first model is asked; what it finds clean joins the
     training as clean, with a smaller weight, and so on in turns: each model knows more of the corpus's language than the one
-    before. How often a sentence occurs does not matter, as what many copies say may be abuse; sentences that are labelled
-    as not clean or never found clean are not used.
+    before. Commonness alone makes nothing clean, as what many copies say may be abuse; phrases that only sentences labelled
+    as not clean have, and those never found clean, are not used.
     """
     real, made = reviewed(labelled), list(sentences()) + list(names(MADE_WORDS))
     words = token_lists([t for t, _ in real] + [t for t, _ in made])
@@ -232,16 +234,15 @@ def fit(labelled: list[tuple[str, str]], background: list[list[str]]) -> Model:
     weights = [W_REVIEWED] * len(real) + [W_MADE] * len(made)
     base = [(features(w), y, x) for w, y, x in zip(words, ys, weights, strict=True)]
     barred = only_abusive(words, ys)
-    rest = [list(w) for w in dict.fromkeys(map(tuple, background)) if w and w not in barred]
+    rest = [list(w) for w in dict.fromkeys(map(tuple, common)) if w and w not in barred]
     if not rest:
         return averaged(base)
-    # Documents are also judged by windows, so the parts of a long clean sentence are learnt as clean, too.
-    ids = [[features(x) for x in (w, *windows(w)[1:])] for w in rest]
+    ids = [features(w) for w in rest]
     clean = one_hot("clean")
     examples = base
     for _ in range(TURNS):
         p = train(examples, epochs=TURN_EPOCHS).judge(rest)[:, 0]
-        examples = base + [(f, clean, W_BACKGROUND) for fs, q in zip(ids, p, strict=True) if q >= BACKGROUND_CLEAN for f in fs]
+        examples = base + [(f, clean, W_COMMON) for f, q in zip(ids, p, strict=True) if q >= COMMON_CLEAN]
     return averaged(examples)
 
 
@@ -250,11 +251,56 @@ def labelled_rows(examples: DataFrame) -> list[tuple[str, str]]:
     return [(r[0], r[1]) for r in examples.select("text", "label", "example_id").distinct().orderBy("example_id", "text", "label").limit(MAX_LABELLED).collect()]
 
 
-def background_rows(documents: DataFrame) -> list[list[str]]:
-    """Sentences of at most BACKGROUND_DOCS documents, those with the least hash of their id, at most
-    BACKGROUND_SENTENCES from the start of each: a bounded sample for training; scoring covers all documents whole."""
-    sample = documents.where(F.col("text").isNotNull()).select("doc_id", F.substring("text", 1, 4000).alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(BACKGROUND_DOCS).collect()
-    return token_lists([s for r in sorted(sample, key=lambda r: (r[0] is None, r[0], r[1])) for s in split_sentences(r[1])[:BACKGROUND_SENTENCES]])
+def _sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different sentences of each slice, as tokens with blanks between them."""
+    known: dict[str, str] = {}
+
+    def joined(raw: str) -> str:
+        out = known.get(raw)
+        if out is None:
+            if len(known) > 2 * CACHE_WORDS:
+                known.clear()
+            out = known[raw] = " ".join(word_tokens(raw))
+        return out
+
+    for batch in batches:
+        for part in slices(batch):
+            texts = {s for text in even_form(part.column(0).to_pylist()) for s in split_sentences(prepare(text))}
+            found = {" ".join(joined(w) for w in _WORD.findall(s)) for s in texts} - {""}
+            yield pa.record_batch([pa.array(sorted(found), pa.string())], names=["words"])
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many of the sentences have each word and pair; the empty phrase counts the sentences."""
+    found: Counter[str] = Counter()
+
+    def out() -> pa.RecordBatch:
+        rows = pa.record_batch([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["phrase", "n"])
+        found.clear()
+        return rows
+
+    for batch in batches:
+        for sentence in batch.column(0).to_pylist():
+            words = sentence.split(" ")
+            found.update({"", *words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))})
+            if len(found) > COUNTED:
+                yield out()
+    if found:
+        yield out()
+
+
+def common_phrases(documents: DataFrame) -> list[list[str]]:
+    """The words and pairs of neighbouring words that at least one in COMMON different sentences has, as token lists.
+
+    Every sentence of every document counts, from whole texts, and each different one once: a text that is posted very often
+    weighs as much as one. The counts are made by distributed aggregates; only the common phrases come to the driver.
+    """
+    texts = documents.where(F.col("text").isNotNull()).select("text")
+    different = texts.mapInArrow(_sentences, "words string").distinct()
+    counts = cut(different.mapInArrow(_counts, "phrase string, n bigint").groupBy("phrase").agg(F.sum("n").alias("n")))
+    whole = counts.where(F.col("phrase") == "").agg(F.max("n")).scalar()
+    rows = counts.where((F.col("phrase") != "") & (F.col("n") * COMMON >= whole)).select("phrase").collect()
+    return [p.split(" ") for p in sorted(r[0] for r in rows)]
 
 
 SCORE = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("sentences", pa.int32()), ("score", pa.float64()), ("label", pa.string())])

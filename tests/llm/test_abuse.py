@@ -97,3 +97,17 @@ def test_abuse_in_a_third_of_the_documents_is_not_learnt_as_clean():
     score = abuse.scorer(abuse.fit([(known, "abuse")], background).logits)
     assert score(often)[1] > 0.5 and score(known)[1] > 0.5
     assert score("The engine lies under the map.")[1] < 0.5
+
+
+def test_common_phrases_are_counted_over_whole_texts_of_all_documents(spark):
+    """What is common is so wherever it stands, and copies of one sentence count once."""
+    rows = [(i, f"{'filler ' * 1000}. deep{i} inside lantern.") for i in range(700)] + [(1000 + i, "Posted often!") for i in range(300)] + [(None, None), (5000, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    old, abuse.COMMON = abuse.COMMON, 100
+    try:
+        got = {tuple(x) for x in abuse.common_phrases(df)}
+        again = {tuple(x) for x in abuse.common_phrases(df.unionByName(df))}
+    finally:
+        abuse.COMMON = old
+    assert got == again == {("inside",), ("lantern",), ("inside", "lantern")}
+    assert abuse.common_phrases(df.limit(0)) == []
