@@ -7,6 +7,7 @@ import random
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import product
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,9 +24,8 @@ RUN_UNITS = 200_000
 #: Small documents of each (mix, source) that a round leaves for the end, where they make up for what larger ones miss: so
 #: many, and on until they have so many times the tokens of the largest document, but no more than half of all.
 RESERVE, RESERVE_TOKENS = 64, 6
-#: Documents larger than the first of these parts of their source's target are not used, if the others have ENOUGH times
-#: the tokens that are wanted; else the next part holds, and in the end all documents are used.
-LARGEST, ENOUGH = (0.05, 0.1, 0.25, 1.0), 1.25
+#: In the last round all documents so many times smaller than the largest may make up for it.
+SMALLER = 4
 #: Probabilities this close to 0 or 1 are decided.
 EPS = 1e-9
 
@@ -127,27 +127,44 @@ def shifted(pi: list[float], tokens: list[int], want: float) -> list[float]:
 def _decide(rows: list[int], tokens: list[int], pi: list[float], rng: random.Random, last: bool) -> None:
     """Flight over rows without the reserve, which stays undecided; in the last round the landing, then the reserve.
 
-    The last two of the others are rounded by chance, by their probabilities. The reserve's probabilities take up what
-    was rounded away, and its own last two are landed where they miss least.
+    The last two of the others are rounded by chance, by their probabilities, and the reserve's probabilities take up what
+    was rounded away; if that is more than the reserve holds, the two are landed where they miss least instead. The reserve
+    is then decided in the same way, and its last two are landed. All other documents, of any size, are decided by the flight and keep their chance.
     """
     reserve = reserve_of(rows, tokens, pi)
+    if last:
+        undecided = [i for i in rows if EPS < pi[i] < 1 - EPS]
+        largest = max((tokens[i] for i in undecided), default=0)
+        reserve = max(reserve, {i for i in undecided if tokens[i] * SMALLER <= largest}, key=len)
     decided, undecided = flight([(i, tokens[i], pi[i]) for i in rows if i not in reserve], rng)
     before = {i: pi[i] for i in decided}
     for i, p in decided.items():
         pi[i] = p
     if not last:
         return
-    for i in undecided:
-        pi[i] = float(rng.random() < pi[i])
     kept = sorted(reserve)
+    held, room = sum(tokens[i] for i in kept), sum(pi[i] * tokens[i] for i in kept)
+    part = {i: pi[i] for i in undecided}
+
+    def miss(x: tuple[float, ...]) -> float:
+        left = room + sum((part[i] - v) * tokens[i] for i, v in zip(undecided, x, strict=True))
+        return max(0.0, -left, left - held)
+
+    drawn = tuple(float(rng.random() < pi[i]) for i in undecided)
+    if miss(drawn) > 0:
+        drawn = min(product((0.0, 1.0), repeat=len(undecided)), key=miss)
+    for i, v in zip(undecided, drawn, strict=True):
+        pi[i] = v
     if not kept:
         return
-    want = sum(pi[i] * tokens[i] for i in kept) + sum((p - pi[i]) * tokens[i] for i, p in before.items())
+    want = room + sum((p - pi[i]) * tokens[i] for i, p in before.items())
     sizes = [tokens[i] for i in kept]
     moved = shifted([pi[i] for i in kept], sizes, want)
-    done, left = flight(list(zip(kept, sizes, moved, strict=True)), rng)
-    done |= landing([(i, tokens[i], done[i]) for i in left])
-    for i, p in done.items():
+    for i, p in zip(kept, moved, strict=True):
+        pi[i] = p
+    if len(kept) > 2:
+        return _decide(kept, tokens, pi, rng, True)
+    for i, p in landing([(i, tokens[i], pi[i]) for i in kept]).items():
         pi[i] = p
 
 
@@ -192,7 +209,7 @@ def plan(targets: DataFrame, counts: DataFrame, *, total_tokens: int | None = No
 
     Shares are made to add up to 1 over the sources that have documents. The total of a mix is total_tokens, or else the
     largest at which every source with documents reaches its share within its cap; with no cap in the mix, all tokens of
-    its sources. Documents that are large against the target of their source are not used where the others suffice (LARGEST).
+    its sources. Only documents larger than the whole target of their source are not used, unless all of them are.
 
     Only sums per source of a table of at most MAX_TARGETS rows come to the driver.
     """
@@ -228,15 +245,11 @@ def plan(targets: DataFrame, counts: DataFrame, *, total_tokens: int | None = No
     live = [t for t in found.values() if t.target_tokens > 0]
     if live:
         limits = F.broadcast(counts.sparkSession.createDataFrame([(t.mix_name, t.source, t.target_tokens) for t in live], "mix_name string, source string, target_ double"))
-        within = [F.sum(F.when(F.col("tokens") <= F.floor(F.col("target_") * part), F.col("tokens")).otherwise(0)).alias(f"w{i}") for i, part in enumerate(LARGEST)]
-        fitting = {(r["mix_name"], r["source"]): r for r in usable.join(limits, "source").groupBy("mix_name", "source").agg(*within).collect()}
+        fits = F.sum(F.when(F.col("tokens") <= F.floor("target_"), F.col("tokens")).otherwise(0)).alias("fits")
+        fitting = {(r["mix_name"], r["source"]): r["fits"] for r in usable.join(limits, "source").groupBy("mix_name", "source").agg(fits).collect()}
         for t in live:
-            t.usable, t.limit = t.available, 1 << 62
-            for i, part in enumerate(LARGEST):
-                tokens = fitting[t.mix_name, t.source][f"w{i}"]
-                if tokens * (1 if t.cap is None else t.cap) >= ENOUGH * t.target_tokens:
-                    t.usable, t.limit = tokens, math.floor(t.target_tokens * part)
-                    break
+            tokens = fitting[t.mix_name, t.source]
+            t.usable, t.limit = (tokens, math.floor(t.target_tokens)) if tokens else (t.available, 1 << 62)
             t.uses = t.target_tokens / t.usable if t.cap is None else min(float(t.cap), t.target_tokens / t.usable)
     return list(found.values())
 

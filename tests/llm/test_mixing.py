@@ -68,3 +68,13 @@ def test_same_answer_again_and_empty(spark):
     assert mixing.mix(empty, plan).count() == 0
     assert {r["actual_share"] for r in mixing.shares(mixing.mix(empty, plan), plan).collect()} == {0.0}
     assert mixing.mix(counts, mixing.plan(targets.limit(0), counts)).count() == 0
+
+
+def test_large_documents_keep_their_chance(spark):
+    """A document of half its source's target is drawn as often as a small one; only one beyond the target is left out."""
+    sizes = [10] * 400 + [500] * 20 + [5000]
+    counts = spark.createDataFrame([(i, "a", t) for i, t in enumerate(sizes)], "doc_id bigint, source string, tokens bigint")
+    plan = mixing.plan(spark.createDataFrame([("m", "a", 1.0, 1, "")], TARGETS), counts, total_tokens=1000)
+    assert (plan[0].usable, plan[0].limit) == (14_000, 1000) and abs(plan[0].uses - 1 / 14) < 1e-9
+    used = mixing.mix(counts, plan).where("uses > 0").collect()
+    assert abs(sum(r["tokens"] for r in used) - 1000) <= 500 and all(r["tokens"] < 5000 for r in used)
