@@ -129,7 +129,8 @@ def _decide(rows: list[int], tokens: list[int], pi: list[float], rng: random.Ran
 
     The last two of the others are rounded by chance, by their probabilities, and the reserve's probabilities take up what
     was rounded away; if that is more than the reserve holds, the two are landed where they miss least instead. The reserve
-    is then decided in the same way, and its last two are landed. All other documents, of any size, are decided by the flight and keep their chance.
+    is then decided in the same way, and its last two are landed. What the flight
+    decides keeps its chance; what this last part decides keeps it only nearly, in favour of small documents.
     """
     reserve = reserve_of(rows, tokens, pi)
     if last:
