@@ -401,11 +401,22 @@ def duplicate_values(notes: DataFrame, value: Column) -> DataFrame:
     return join_one_to_many(rows, few, ["value"], "k_").select("value", "n", "id")
 
 
+def first_field() -> Column:
+    """Without markup and without blanks of any width at its ends."""
+    plain = F.replace(F.regexp_replace(tx.field_at(c("flds"), 0), "<[^>]*>", ""), F.lit("&nbsp;"), F.lit(" "))
+    return F.regexp_replace(plain, r"^\p{Zs}+|\p{Zs}+$", "")
+
+
+@query("g27_find_dupes_notes", f"SELECT value, n, id FROM (SELECT value, count(*) OVER (PARTITION BY value) AS n, id FROM (SELECT {FIRST_FIELD} AS value, id FROM n) WHERE value <> '') WHERE n > 1")
+def find_dupes_notes(spark: SparkSession, d: str) -> DataFrame:
+    """Every note with the same first field as another, markup aside: one row per note."""
+    return duplicate_values(base.notes(spark, d), first_field())
+
+
 @query("g27_find_dupes", f"SELECT value, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM (SELECT {FIRST_FIELD} AS value, id FROM n) WHERE value <> '' GROUP BY value HAVING count(*) > 1")
 def find_dupes(spark: SparkSession, d: str) -> DataFrame:
     """Notes with the same first field, markup aside; reported by count and bounds, so that a group of any size is one row."""
-    value = F.trim(F.replace(F.regexp_replace(tx.field_at(c("flds"), 0), "<[^>]*>", ""), F.lit("&nbsp;"), F.lit(" "))).alias("value")
-    return base.notes(spark, d).select(value, "id").where(c("value") != "").groupBy("value").agg(count(), F.min("id").alias("first_id"), F.max("id").alias("last_id")).where(c("n") > 1)
+    return base.notes(spark, d).select(first_field().alias("value"), "id").where(c("value") != "").groupBy("value").agg(count(), F.min("id").alias("first_id"), F.max("id").alias("last_id")).where(c("n") > 1)
 
 
 @query("g28_chunked_reviews", f"""
