@@ -72,11 +72,8 @@ def _plain(s: Sign) -> str:
 def glob_to_regex(text: str, wildcard: str = ".") -> str:
     """A regular expression of a wildcard text, in which wildcard matches any one character."""
 
-    def literal(chars: str) -> str:
-        return "".join(c if c.isalnum() or c.isspace() or c == "_" or not c.isascii() else "\\" + c for c in chars)
-
     each = {"run": wildcard + "*", "one": wildcard}
-    return "".join(each[s.any] if s.any else literal(_plain(s)) for s in signs(text))
+    return "".join(each[s.any] if s.any else re.escape(_plain(s)) for s in signs(text))
 
 
 def glob_to_like(text: str) -> str:

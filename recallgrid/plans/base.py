@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recallgrid.model import CLOCK, catalog
-from recallgrid.operators import references, replay
+from recallgrid.operators import references
 from recallgrid.registry import CORE
 from recallgrid.search.compile import Collection, find_cards
-from recallgrid.tables import seq, table
+from recallgrid.tables import latest, seq, table, versions
 
 
 @dataclass(frozen=True)
@@ -46,16 +46,28 @@ def graves(spark: SparkSession, d: str, kind: int) -> DataFrame:
     return table(spark, d, "graves", "oid", "type", "usn").where(F.col("type") == kind)
 
 
+def standing(spark: SparkSession, d: str, name: str, kind: int) -> DataFrame:
+    """The rows of a table that stand: the last version of each id, unless a delete of its kind has a later usn.
+
+    Of versions with equal usn the one with the latest mod stands; of those with equal mod the one further down the file.
+    """
+    rows = versions(spark, d, name)
+    rows = latest(rows.withColumn("seq_", seq(F.col("usn"))), "id", F.col("seq_"), F.col("mod"), F.col("at_"))
+    gone = graves(spark, d, kind).where(F.col("oid").isNotNull()).groupBy(F.col("oid").alias("oid_")).agg(F.max(seq(F.col("usn"))).alias("gone_"))
+    live = rows.join(gone, F.col("id") == F.col("oid_"), "left").where(F.col("gone_").isNull() | (F.col("gone_") <= F.col("seq_")))
+    return live.drop("seq_", "at_", "oid_", "gone_")
+
+
 def cards(spark: SparkSession, d: str) -> DataFrame:
     """Cards after all changes of the feed."""
-    rows = replay.live_rows(replay.replay(replay.change_feed(table(spark, d, "cards"), graves(spark, d, 0))))
+    rows = standing(spark, d, "cards", 0)
     ids = _SCOPE.get().ids
     return rows if ids is None else rows.join(ids, "id", "left_semi")
 
 
 def notes(spark: SparkSession, d: str) -> DataFrame:
     """Existing notes; null tags are none."""
-    return references.existing(table(spark, d, "notes"), graves(spark, d, 1)).withColumn("tags", F.coalesce("tags", F.lit("")))
+    return standing(spark, d, "notes", 1).withColumn("tags", F.coalesce("tags", F.lit("")))
 
 
 def decks(spark: SparkSession, d: str) -> DataFrame:
@@ -67,9 +79,8 @@ REVIEW = ["cid", "usn", "ease", "ivl", "last_ivl", "factor", "time", "type"]
 
 def revlog(spark: SparkSession, d: str) -> DataFrame:
     """Reviews, one row per id; of rows sent again the one with the latest usn. Null time is 0."""
-    rows = table(spark, d, "revlog", "id", *REVIEW).where(F.col("id").isNotNull())
-    one = rows.groupBy("id").agg(F.max(F.struct(seq(F.col("usn")).alias("s_"), *REVIEW)).alias("r_"))
-    out = one.select("id", *[F.coalesce(f"r_.{c}", F.lit(0)).alias(c) if c == "time" else F.col(f"r_.{c}") for c in REVIEW])
+    rows = latest(versions(spark, d, "revlog").withColumn("seq_", seq(F.col("usn"))), "id", F.col("seq_"), F.col("at_"))
+    out = rows.select("id", *[F.coalesce(c, F.lit(0)).alias(c) if c == "time" else c for c in REVIEW])
     s = _SCOPE.get()
     if s.since_ms is not None:
         out = out.where(F.col("id") >= s.since_ms)
