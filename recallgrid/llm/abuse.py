@@ -3,48 +3,56 @@
 from __future__ import annotations
 
 import html
+import random
 import re
 import unicodedata
 import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recallgrid.llm.abuse_seeds import LABELS, names, sentences
+from recallgrid.llm.abuse_seeds import LABELS, disguise, names, sentences
 from recallgrid.llm.duck import connection, slices
-from recallgrid.llm.lookalike import steps_sql
+from recallgrid.llm.lookalike import KANA, steps_sql
 from recallgrid.session import cut
 
 #: Most labelled rows used for training.
 MAX_LABELLED = 20_000
-#: Words and pairs of neighbouring words are common if one in so many different sentences of all documents has them. At most
-#: so many times the average length of a sentence, twice, are common, whatever the number of documents.
-COMMON = 5_000
-#: Different words and pairs that a task counts before it hands their counts on.
+#: Words are common if one in so many different sentences of all documents has them, and frames if one in so many has them;
+#: both at least LEAST. So at most that many frames are common, and that many times the average length of a sentence words,
+#: whatever the number of documents.
+COMMON_WORDS, COMMON_FRAMES, LEAST = 500, 20_000, 5
+#: Different words or frames that a task counts before it hands their counts on.
 COUNTED = 500_000
-#: Rows of the table of subword vectors, and their length.
-BUCKET_BITS, DIM = 18, 24
+#: Rows of the table of subword scores: so many that few of the training's subwords share one with another; and the length
+#: of a subword vector. A subword that the training has not seen counts as UNSEEN of the prior's.
+BUCKET_BITS, DIM = 21, 48
 BUCKETS = 1 << BUCKET_BITS
 EPOCHS, RATE, SEED = 8, 0.6, 7
+#: Examples that are worked on at once in training.
+BATCH = 16
 #: Every sentence counts as if it also had so many subwords that speak for clean, with this score: a few unknown words say
 #: little.
-PRIOR, PRIOR_CLEAN = 15, 4.0
-#: Weights of a reviewed sentence, a made sentence, and a common word or pair taken as clean.
-W_REVIEWED, W_MADE, W_COMMON = 1.0, 1.0, 0.5
+PRIOR, PRIOR_CLEAN, UNSEEN = 15, 4.0, 0.5
+#: Weights of a reviewed sentence, a made sentence, a common frame taken as clean, and a window of a clean sentence.
+W_REVIEWED, W_MADE, W_COMMON, W_WINDOW = 1.0, 1.0, 1.0, 0.5
 #: Only what the model before finds this likely to be clean is taken as clean, however common it is.
-COMMON_CLEAN = 0.5
+COMMON_CLEAN = 0.3
+#: Misspelled copies of each labelled text.
+NOISED = 2
 #: Models trained in turn with what the one before takes as clean, and the epochs of all but the last.
 TURNS, TURN_EPOCHS = 3, 5
 #: The last models differ only in their starting vectors; their scores are averaged, as the score of a subword depends on
 #: these by chance.
 LAST_MODELS = 3
 #: Made-up names and words that join the training as clean: unknown words say nothing.
-MADE_WORDS = 3_000
+MADE_WORDS = 12_000
 #: Words in a window; sentences longer than that are also judged window by window.
 WINDOW, STRIDE = 9, 2
 #: A document is a case if a sentence is this unlikely to be clean.
@@ -54,14 +62,25 @@ CACHE_WORDS, CALL_WORDS = 200_000, 100_000
 
 # Digits and signs written for letters.
 LEET = str.maketrans("013457@$!", "oieastasi")
-_TAG = re.compile(r"<[^<>]{0,200}>")
+_TAG = re.compile(r"<[^<>]*>")
 _SPLIT = re.compile(r"(?<=[.!?…])[\"'»”)\]]*\s+|[。！？!?]+|[\n\r\t|]+")
 _SPACED = re.compile(r"(?<![^\W\d_])[^\W\d_](?:([.\-_ ·])[^\W\d_](?:\1[^\W\d_])+)(?![^\W\d_])")
-_WORD = re.compile(r"[\w@$*゙゚]+(?:'\w+)*")
+#: Words, and quotation marks, by which a word that is used can be told from one that is spoken of.
+_WORD = re.compile(r"""[\w@$*゙゚]+(?:'\w+)*|["«»„“”‘’‚‹›「」『』]|(?<!\w)'|'(?!\w)""")
+QUOTES = "\"'«»„“”‘’‚‹›「」『』"
 _RUN = re.compile(r"([^\W\d_])\1{2,}")
 _ACCENTS = re.compile("[\u0300-\u036f]+")
 _STARS = re.compile(r"\*+")
+_CYRILLIC = re.compile("[\u0430-\u045f]")
+# Small letters whose capitals or own forms are drawn alike, Latin first.
+ALIKE = "aа bв cс eе hн kк mм oо pр tт xх yу".split()
+TO_CYRILLIC, TO_LATIN = str.maketrans(dict(ALIKE)), str.maketrans({b: a for a, b in ALIKE})
 _EAST = re.compile(r"[぀-ヿ㐀-鿿々゙゚]+|[^぀-ヿ㐀-鿿々゙゚]+")
+#: Runs of one script: Katakana, Hiragana, Han.
+_RUNS = re.compile(r"[ァ-ヺーヽヾ]+|[ぁ-ゖゝゞ]+|[㐀-鿿々]+")
+#: Katakana that the consistent form has turned into what they are drawn like; beside Katakana they are meant as such.
+_FROM_KANA = {p[1]: p[0] for p in KANA.split()}
+_MEANT = re.compile(f"[{''.join(_FROM_KANA)}](?=[ァ-ヺー゙゚])|(?<=[ァ-ヺー゙゚])[{''.join(_FROM_KANA)}]")
 
 
 def even_form(texts: list[str]) -> list[str]:
@@ -86,17 +105,32 @@ def prepare(text: str) -> str:
     return s if s.isascii() else _ACCENTS.sub("", unicodedata.normalize("NFD", s))
 
 
+def one_script(word: str) -> str:
+    """A word of Cyrillic and Latin letters in the script that more of its letters can only belong to.
+
+    Look-alike letters have become Latin, but a small letter may be drawn unlike its capital: without this a word at the
+    beginning of a sentence would be another word.
+    """
+    if not _CYRILLIC.search(word):
+        return word
+    only = sum(1 if "\u0430" <= c <= "\u045f" else -1 if c.isalpha() and ord(c) not in TO_CYRILLIC else 0 for c in word)
+    return word.translate(TO_CYRILLIC if only >= 0 else TO_LATIN)
+
+
 def word_tokens(word: str) -> list[str]:
-    """The tokens of a prepared word, undone of doubling and of signs for letters.
+    """The tokens of a prepared word, undone of doubling and of signs for letters; quotation marks are all the same.
 
-    A run of Han or Kana characters gives one token for each character, with the three that follow it.
+    Japanese is written without blanks: each run of one script is a token.
     """
+    if word in QUOTES:
+        return ['"']
     out = []
+    word = one_script(word)
     for w in _EAST.findall(word):
         w = _RUN.sub(r"\1", w)
         if w[0] >= "\u3040" and (w[0] <= "\u30ff" or "\u3400" <= w[0] <= "\u9fff"):
-            w = unicodedata.normalize("NFC", w)
-            out.extend("\0" + w[i : i + 4] for i in range(len(w)))
+            w = unicodedata.normalize("NFC", _MEANT.sub(lambda m: _FROM_KANA[m.group()], w))
+            out.extend("\0" + r for r in _RUNS.findall(w))
             continue
         if any(c.isdigit() or c in "@$" for c in w) and sum(c.isalpha() for c in w) >= 2:
             w = w.translate(LEET)
@@ -111,9 +145,9 @@ def tokens(sentence: str) -> list[str]:
 
 
 def grams(token: str) -> list[str]:
-    """Subwords: the word and its n-grams of 3 to 6 characters; for a run of Han or Kana its prefixes."""
-    if token[0] == "\0":
-        return [token[: k + 1] for k in range(1, len(token))]
+    """Subwords: the word and its n-grams of 3 to 6 characters; of Han single characters and pairs, as each is a word part."""
+    if token[0] == "\0" and "\u3400" <= token[1]:
+        return [token] + [f"\0{token[i : i + n]}-" for n in (1, 2) for i in range(1, len(token) - n + 1)]
     w = f"<{token}>"
     return [w] + [w[i : i + n] for n in (3, 4, 5, 6) for i in range(len(w) - n + 1) if n < len(w)]
 
@@ -129,9 +163,10 @@ def pairs(first, second):  # noqa: ANN001, ANN201
 
 
 def features(words: list[str]) -> list[int]:
-    ids = [bucket(g) for w in words for g in grams(w)]
+    """The buckets of a sentence: of its words and of the pairs of neighbours; an empty word is a gap and has none."""
+    ids = [bucket(g) for w in words if w for g in grams(w)]
     hashes = [zlib.crc32(w.encode()) for w in words]
-    return ids + [pairs(hashes[k], hashes[k + 1]) for k in range(len(words) - 1) if words[k][0] != "\0" or words[k + 1][0] != "\0"]
+    return ids + [pairs(hashes[k], hashes[k + 1]) for k in range(len(words) - 1) if words[k] and words[k + 1]]
 
 
 @dataclass
@@ -140,43 +175,55 @@ class Model:
 
     logits: np.ndarray
 
-    def judge(self, lists: list[list[str]]) -> np.ndarray:
-        """Probabilities of the labels for token lists."""
+    def judge(self, lists: list[list[str]], weight: float = PRIOR) -> np.ndarray:
+        """Probabilities of the labels for token lists, with a prior of so many subwords."""
         out = np.empty((len(lists), len(LABELS)))
         for k, words in enumerate(lists):
             ids = features(words)
-            z = (self.logits[ids].sum(axis=0) + prior()) / (len(ids) + PRIOR)
+            z = (self.logits[ids].sum(axis=0) + prior() * (weight / PRIOR)) / (len(ids) + weight)
             e = np.exp(z - z.max())
             out[k] = e / e.sum()
         return out
 
 
 def train(examples: list[tuple[list[int], np.ndarray, float]], *, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> Model:
-    """Embeddings and softmax weights trained together by stochastic gradient descent; examples are (buckets, label
-    distribution, weight)."""
+    """Embeddings and softmax weights trained together by stochastic gradient descent in small batches; examples are
+    (buckets, label distribution, weight)."""
     rng = np.random.default_rng(seed)
-    emb = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
-    out = np.zeros((len(LABELS), DIM), np.float32)
-    # Each bucket of an example once, with its share: so no index repeats in an update.
-    rows = []
-    for ids, y, w in examples:
-        if ids:
-            own, times = np.unique(ids, return_counts=True)
-            rows.append((own, (times / len(ids)).astype(np.float32), len(ids), y.astype(np.float32), w))
-    steps, step, first = max(1, epochs * len(rows)), 0, prior().astype(np.float32)
+    logits = np.tile((prior() * UNSEEN / PRIOR).astype(np.float32), (BUCKETS, 1))
+    kept = [(np.array(ids), y, w) for ids, y, w in examples if ids]
+    if not kept:
+        return Model(logits)
+    # Only buckets that occur have a vector while training.
+    used, flat = np.unique(np.concatenate([ids for ids, _, _ in kept]), return_inverse=True)
+    n = np.array([len(ids) for ids, _, _ in kept])
+    ends = np.cumsum(n)
+    ys, ws = np.array([y for _, y, _ in kept], np.float32), np.array([w for _, _, w in kept], np.float32)
+    emb = rng.uniform(-1 / DIM, 1 / DIM, (len(used), DIM)).astype(np.float32)
+    out, first = np.zeros((len(LABELS), DIM), np.float32), prior().astype(np.float32)
+    steps, step = max(1, epochs * len(kept)), 0
     for _ in range(epochs):
-        for k in rng.permutation(len(rows)):
-            ids, part, n, y, w = rows[k]
+        order = rng.permutation(len(kept))
+        for at in range(0, len(order), BATCH):
+            rows = order[at : at + BATCH]
+            ids = np.concatenate([flat[ends[k] - n[k] : ends[k]] for k in rows])
+            size = n[rows]
+            starts = np.cumsum(size) - size
             # The prior holds in training, too, so that short cases learn to speak against it.
-            h = (part @ emb[ids]) * np.float32(n / (n + PRIOR))
-            z = out @ h + first / np.float32(n + PRIOR)
-            e = np.exp(z - z.max())
-            g = (y - e / e.sum()) * np.float32(w * rate * (1 - step / steps))
-            back = g @ out
-            out += np.outer(g, h)
-            emb[ids] += np.outer(part, back * np.float32(DIM * n / (n + PRIOR)))
-            step += 1
-    return Model((emb @ out.T).astype(np.float32))
+            whole = (size + PRIOR).astype(np.float32)[:, None]
+            h = np.add.reduceat(emb[ids], starts) / whole
+            z = h @ out.T + first / whole
+            e = np.exp(z - z.max(axis=1, keepdims=True))
+            g = (ys[rows] - e / e.sum(axis=1, keepdims=True)) * (ws[rows] * np.float32(rate * (1 - step / steps)))[:, None]
+            back = g @ out * (DIM / whole)
+            out += g.T @ h
+            by = np.argsort(ids, kind="stable")
+            sorted_ids = ids[by]
+            heads = np.flatnonzero(np.r_[True, sorted_ids[1:] != sorted_ids[:-1]])
+            emb[sorted_ids[heads]] += np.add.reduceat(np.repeat(back, size, axis=0)[by], heads)
+            step += len(rows)
+    logits[used] = emb @ out.T
+    return Model(logits)
 
 
 def prior() -> np.ndarray:
@@ -220,21 +267,37 @@ def token_lists(texts: list[str]) -> list[list[str]]:
     return [[w for s in split_sentences(f) for w in tokens(s)] for f in even_form(texts)]
 
 
-def fit(labelled: list[tuple[str, str]], common: list[list[str]]) -> Model:
-    """The model from reviewed sentences, made sentences, and what is common in the corpus (token lists).
+def windows(words: list[str]) -> list[list[str]]:
+    """The windows in which a long sentence is judged besides the whole."""
+    if len(words) <= WINDOW:
+        return []
+    return [words[i : i + WINDOW] for i in range(0, len(words) - WINDOW + 2 * STRIDE - 1, STRIDE) if i < len(words)]
 
-    Most of what is common is clean. About each different phrase a first model is asked; what it finds clean joins the
-    training as clean, with a smaller weight, and so on in turns: each model knows more of the corpus's language than the one
-    before. Commonness alone makes nothing clean, as what many copies say may be abuse; phrases that only sentences labelled
-    as not clean have, and those never found clean, are not used.
-    """
-    real, made = reviewed(labelled), list(sentences()) + list(names(MADE_WORDS))
-    words = token_lists([t for t, _ in real] + [t for t, _ in made])
-    ys = [y for _, y in real] + [one_hot(label) for _, label in made]
-    weights = [W_REVIEWED] * len(real) + [W_MADE] * len(made)
-    base = [(features(w), y, x) for w, y, x in zip(words, ys, weights, strict=True)]
-    barred = only_abusive(words, ys)
-    rest = [list(w) for w in dict.fromkeys(map(tuple, common)) if w and w not in barred]
+
+def examples_of(texts: list[tuple[str, np.ndarray]], weight: float) -> list[tuple[list[str], np.ndarray, float]]:
+    """Token lists of texts; a long clean text also gives its windows, as none of them is a case either."""
+    out = []
+    for words, (_, y) in zip(token_lists([t for t, _ in texts]), texts, strict=True):
+        out.append((words, y, weight))
+        if y[0] == 1:
+            out.extend((w, y, weight * W_WINDOW) for w in windows(words))
+    return out
+
+
+def training_texts(labelled: list[tuple[str, str]]) -> list[tuple[list[str], np.ndarray, float]]:
+    """Token lists with labels and weights of the reviewed texts, misspelled copies of them, and made texts."""
+    real, rng = reviewed(labelled), random.Random(SEED)
+    noised = [(disguise(t, rng), y) for t, y in real for _ in range(NOISED)]
+    made = [(t, one_hot(label)) for t, label in [*sentences(), *names(MADE_WORDS)]]
+    return examples_of(real, W_REVIEWED) + examples_of(noised, W_REVIEWED / NOISED) + examples_of(made, W_MADE)
+
+
+@lru_cache(maxsize=2)
+def _fit(labelled: tuple[tuple[str, str], ...], common: tuple[tuple[str, ...], ...]) -> Model:
+    texts = training_texts(list(labelled))
+    base = [(features(w), y, x) for w, y, x in texts]
+    barred = only_abusive([w for w, _, _ in texts], [y for _, y, _ in texts])
+    rest = [list(w) for w in dict.fromkeys(common) if any(w) and w not in barred]
     if not rest:
         return averaged(base)
     ids = [features(w) for w in rest]
@@ -246,6 +309,18 @@ def fit(labelled: list[tuple[str, str]], common: list[list[str]]) -> Model:
     return averaged(examples)
 
 
+def fit(labelled: list[tuple[str, str]], common: list[list[str]]) -> Model:
+    """The model from reviewed sentences, made sentences, and the common frames of the corpus (token lists).
+
+    Most of what is common is clean. About each frame a first model is asked; what it does not find to be a case joins the
+    training as clean, and so on in turns: each model knows more of the corpus's language than the one before. Commonness
+    alone makes nothing clean, as what many copies say may be abuse; frames that are sentences or phrases which only texts
+    labelled as not clean have, and those that always look like a case, are not used. The same rows give the same model,
+    which is kept.
+    """
+    return _fit(tuple(sorted(labelled, key=repr)), tuple(map(tuple, common)))
+
+
 def labelled_rows(examples: DataFrame) -> list[tuple[str, str]]:
     """At most MAX_LABELLED labelled rows, the first by id."""
     return [(r[0], r[1]) for r in examples.select("text", "label", "example_id").distinct().orderBy("example_id", "text", "label").limit(MAX_LABELLED).collect()]
@@ -270,37 +345,56 @@ def _sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(sorted(found), pa.string())], names=["words"])
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many of the sentences have each word and pair; the empty phrase counts the sentences."""
-    found: Counter[str] = Counter()
+def _counting(parts: Callable[[list[str]], Iterable[str]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts of the different parts of each sentence; the empty part counts the sentences."""
 
-    def out() -> pa.RecordBatch:
-        rows = pa.record_batch([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["phrase", "n"])
-        found.clear()
-        return rows
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter[str] = Counter()
 
-    for batch in batches:
-        for sentence in batch.column(0).to_pylist():
-            words = sentence.split(" ")
-            found.update({"", *words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))})
-            if len(found) > COUNTED:
-                yield out()
-    if found:
-        yield out()
+        def out() -> pa.RecordBatch:
+            rows = pa.record_batch([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["part", "n"])
+            found.clear()
+            return rows
+
+        for batch in batches:
+            for sentence in batch.column(0).to_pylist():
+                found.update({"", *parts(sentence.split(" "))})
+                if len(found) > COUNTED:
+                    yield out()
+        if found:
+            yield out()
+
+    return run
+
+
+def _common(different: DataFrame, parts: Callable[[list[str]], Iterable[str]], of: int) -> list[str]:
+    """The parts that at least one in `of` sentences has."""
+    counts = cut(different.mapInArrow(_counting(parts), "part string, n bigint").groupBy("part").agg(F.sum("n").alias("n")))
+    whole = counts.where(F.col("part") == "").agg(F.max("n")).scalar()
+    often = (F.col("n") >= LEAST) & (F.col("n") * of >= whole)
+    return sorted(r[0] for r in counts.where((F.col("part") != "") & often).select("part").collect())
+
+
+def _framer(words) -> Callable[[list[str]], Iterable[str]]:  # noqa: ANN001
+    def frame(sentence: list[str]) -> list[str]:
+        known = words.value
+        kept = " ".join(w if w in known else "" for w in sentence)
+        return [kept] if kept.strip() else []
+
+    return frame
 
 
-def common_phrases(documents: DataFrame) -> list[list[str]]:
-    """The words and pairs of neighbouring words that at least one in COMMON different sentences has, as token lists.
+def common_frames(documents: DataFrame) -> list[list[str]]:
+    """What sentences have in common: their words, as token lists, with '' in place of words that are not common themselves.
 
     Every sentence of every document counts, from whole texts, and each different one once: a text that is posted very often
-    weighs as much as one. The counts are made by distributed aggregates; only the common phrases come to the driver.
+    weighs as much as one. The counts are made by distributed aggregates over all of them, first of words, then of frames;
+    only the common ones, whose number is bounded, come to the driver.
     """
     texts = documents.where(F.col("text").isNotNull()).select("text")
-    different = texts.mapInArrow(_sentences, "words string").distinct()
-    counts = cut(different.mapInArrow(_counts, "phrase string, n bigint").groupBy("phrase").agg(F.sum("n").alias("n")))
-    whole = counts.where(F.col("phrase") == "").agg(F.max("n")).scalar()
-    rows = counts.where((F.col("phrase") != "") & (F.col("n") * COMMON >= whole)).select("phrase").collect()
-    return [p.split(" ") for p in sorted(r[0] for r in rows)]
+    different = cut(texts.mapInArrow(_sentences, "words string").distinct())
+    words = documents.sparkSession.sparkContext.broadcast(frozenset(_common(different, set, COMMON_WORDS)))
+    return [f.split(" ") for f in _common(different, _framer(words), COMMON_FRAMES)]
 
 
 SCORE = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("sentences", pa.int32()), ("score", pa.float64()), ("label", pa.string())])
@@ -321,7 +415,7 @@ class Scorer:
     def forget(self) -> None:
         self.of_raw: dict[str, tuple[int, ...]] = {}
         self.of_token: dict[str, int] = {}
-        self.rows, self.hashes, self.east = np.zeros((1024, len(LABELS) + 1)), np.zeros(1024, np.uint64), np.zeros(1024, bool)
+        self.rows, self.hashes = np.zeros((1024, len(LABELS) + 1)), np.zeros(1024, np.uint64)
 
     def learn(self, raw: str) -> tuple[int, ...]:
         found = []
@@ -330,10 +424,10 @@ class Scorer:
             if k is None:
                 k = self.of_token[t] = len(self.of_token)
                 if k == len(self.rows):
-                    self.rows, self.hashes, self.east = (np.concatenate([x, np.zeros_like(x)]) for x in (self.rows, self.hashes, self.east))
+                    self.rows, self.hashes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.rows, self.hashes))
                 ids = [bucket(g) for g in grams(t)]
                 self.rows[k, :-1], self.rows[k, -1] = self.logits[ids].sum(axis=0), len(ids)
-                self.hashes[k], self.east[k] = zlib.crc32(t.encode()), t[0] == "\0"
+                self.hashes[k] = zlib.crc32(t.encode())
             found.append(k)
         out = self.of_raw[raw] = tuple(found)
         return out
@@ -344,12 +438,11 @@ class Scorer:
         width = len(LABELS) + 1
         one = np.zeros((len(ids) + 1, width))
         np.cumsum(self.rows[ids], axis=0, out=one[1:])
-        h, east = self.hashes[ids], self.east[ids]
+        h = self.hashes[ids]
         two = np.zeros((len(ids) + 1, width))
         if len(ids) > 1:
             both = np.zeros((len(ids) - 1, width))
             both[:, :-1], both[:, -1] = self.logits[pairs(h[:-1], h[1:]).astype(np.int64)], 1
-            both[east[:-1] & east[1:]] = 0
             np.cumsum(both, axis=0, out=two[1:-1])
             two[-1] = two[-2]
         start = np.cumsum(n) - n
@@ -425,7 +518,7 @@ def scores(documents: DataFrame, model: Model) -> DataFrame:
     Null and empty texts have no sentence and score 0. Rows with a null id or source are scored like the others; repeated
     rows count once.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(model.logits)  # 4 MB, whatever the size of the input
+    shared = documents.sparkSession.sparkContext.broadcast(model.logits)  # 32 MB, whatever the size of the input
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "text")
     return rows.mapInArrow(_scoring(shared), "doc_id bigint, source string, sentences int, score double, label string").distinct()
 

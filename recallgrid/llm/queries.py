@@ -106,7 +106,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "documents", "doc_id", "source", "text")
-    model = abuse.fit(abuse.labelled_rows(table(spark, d, "review_examples")), abuse.common_phrases(documents))
+    model = abuse.fit(abuse.labelled_rows(table(spark, d, "review_examples")), abuse.common_frames(documents))
     return abuse.scores(documents, model)
 
 

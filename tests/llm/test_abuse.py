@@ -1,11 +1,10 @@
 """The classifier: held-out accuracy, disguises, windows, and the defined cases."""
 
-import random
 from pathlib import Path
 
 import pytest
 
-from recallgrid.llm import abuse
+from recallgrid.llm import abuse, abuse_seeds
 
 SMALL = Path("/root/testdata/sf0.01")
 
@@ -21,16 +20,23 @@ def score(model):
 
 
 def test_held_out_accuracy():
-    """Made sentences with every fifth template's fillings left out are mostly judged rightly by a model of the others."""
-    made = list(abuse.sentences())
-    rng = random.Random(0)
-    rng.shuffle(made)
-    cut = len(made) // 5
-    words = lambda t: [w for s in abuse.split_sentences(abuse.even_form([t])[0]) for w in abuse.tokens(s)]
-    m = abuse.train([(abuse.features(words(t)), abuse.one_hot(y), 1.0) for t, y in made[cut:]])
-    p = m.judge([words(t) for t, _ in made[:cut]])
-    right = sum((q[0] < 0.5) == (y != "clean") for q, (_, y) in zip(p, made[:cut], strict=True))
-    assert right / cut > 0.93
+    """Every fifth template of each label and language is left out: its sentences are unlike all of the training's."""
+    made = list(abuse_seeds.filled())
+    held = [(t, y) for t, y, _, number in made if number % 5 == 4]
+    words = lambda rows: abuse.token_lists([t for t, _ in rows])
+    rest = [(t, y) for t, y, _, number in made if number % 5 != 4] + list(abuse_seeds.names(2000))
+    m = abuse.train([(abuse.features(w), abuse.one_hot(y), 1.0) for w, (_, y) in zip(words(rest), rest, strict=True)])
+    found = m.judge(words(held))[:, 0] < 0.5
+    cases = [y != "clean" for _, y in held]
+    recall = sum(f for f, c in zip(found, cases, strict=True) if c) / sum(cases)
+    wrong = sum(f for f, c in zip(found, cases, strict=True) if not c) / (len(cases) - sum(cases))
+    assert recall > 0.7 and wrong < 0.25
+
+
+def test_names_say_nothing(score):
+    """Made-up names, none of them the training's: hardly any is a case."""
+    found = [score(n)[1] >= abuse.THRESHOLD for n, _ in abuse_seeds.names(3000, seed=99)]
+    assert sum(found) / len(found) < 0.003
 
 
 @pytest.mark.skipif(not SMALL.exists(), reason="test tables are absent")
@@ -60,7 +66,10 @@ def test_a_case_hidden_in_a_long_text(score):
 
 def test_tokens():
     assert abuse.tokens("I.d.i.o.t Idiooot 1d10t c**t") == ["idiot", "idiot", "idiot", "c*t"]
-    assert abuse.tokens("馬鹿だ ok") == ["\0馬鹿だ", "\0鹿だ", "\0だ", "ok"]
+    assert abuse.tokens("馬鹿だ ok") == ["\0馬鹿", "\0だ", "ok"]
+    assert abuse.tokens(abuse.even_form(["カメラとガラスのバカ"])[0]) == ["\0カメラ", "\0と", "\0ガラス", "\0の", "\0バカ"]
+    assert abuse.tokens(abuse.even_form(["Ты Кто"])[0]) == abuse.tokens(abuse.even_form(["ты кто"])[0]) == ["ты", "кто"]
+    assert abuse.tokens("the word 'idiot', «l'idiot»") == ["the", "word", '"', "idiot", '"', '"', "l'idiot", '"']
     assert abuse.split_sentences("<p>A b.</p> C! d\te&amp;f") == ["A b.", "C", "d", "e&f"]
 
 
@@ -79,6 +88,13 @@ def test_rows_and_rates(spark, model):
     assert abuse.scores(df.limit(0), model).count() == 0
 
 
+def test_windows_are_those_of_the_scorer():
+    words = [f"w{k}" for k in range(23)]
+    found = abuse.windows(words)
+    assert found[0] == words[:9] and found[-1][-1] == "w22" and all(len(w) <= abuse.WINDOW for w in found)
+    assert abuse.windows(words[:9]) == []
+
+
 def test_training_is_repeatable():
     a, b = (abuse.train([(abuse.features(["you", "fool"]), abuse.one_hot("abuse"), 1.0), (abuse.features(["thank", "you"]), abuse.one_hot("clean"), 1.0)], epochs=3) for _ in range(2))
     assert (a.logits == b.logits).all()
@@ -99,15 +115,16 @@ def test_abuse_in_a_third_of_the_documents_is_not_learnt_as_clean():
     assert score("The engine lies under the map.")[1] < 0.5
 
 
-def test_common_phrases_are_counted_over_whole_texts_of_all_documents(spark):
-    """What is common is so wherever it stands, and copies of one sentence count once."""
+def test_common_frames_are_counted_over_whole_texts_of_all_documents(spark, monkeypatch):
+    """What is common is so wherever it stands, copies of one sentence count once, and what differs becomes a gap."""
     rows = [(i, f"{'filler ' * 1000}. deep{i} inside lantern.") for i in range(700)] + [(1000 + i, "Posted often!") for i in range(300)] + [(None, None), (5000, "")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
-    old, abuse.COMMON = abuse.COMMON, 100
-    try:
-        got = {tuple(x) for x in abuse.common_phrases(df)}
-        again = {tuple(x) for x in abuse.common_phrases(df.unionByName(df))}
-    finally:
-        abuse.COMMON = old
-    assert got == again == {("inside",), ("lantern",), ("inside", "lantern")}
-    assert abuse.common_phrases(df.limit(0)) == []
+    monkeypatch.setattr(abuse, "COMMON_WORDS", 100)
+    got = abuse.common_frames(df)
+    assert got == abuse.common_frames(df.unionByName(df)) == [["", "inside", "lantern"]]
+    assert abuse.common_frames(df.limit(0)) == []
+
+
+def test_gaps_have_no_subwords():
+    one = abuse.features(["a", "", "b"])
+    assert one == abuse.features(["a"]) + abuse.features(["b"]) and abuse.features([""]) == []
