@@ -50,13 +50,13 @@ NOISED = 2
 TURNS, TURN_EPOCHS = 3, 5
 #: The last models differ only in their starting vectors; their scores are averaged, as the score of a subword depends on
 #: these by chance.
-LAST_MODELS = 3
+LAST_MODELS = 5
 #: Made-up names and words that join the training as clean: unknown words say nothing.
-MADE_WORDS = 12_000
+MADE_WORDS = 6_000
 #: Words in a window; sentences longer than that are also judged window by window.
 WINDOW, STRIDE = 9, 2
 #: A document is a case if a sentence is this unlikely to be clean.
-THRESHOLD = 0.5
+THRESHOLD = 0.2
 #: Different words whose sums of vectors a task keeps, and words that are scored in one go.
 CACHE_WORDS, CALL_WORDS = 200_000, 100_000
 

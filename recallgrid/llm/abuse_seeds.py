@@ -7,6 +7,7 @@ of six languages. Fixed values: the lists. {i} takes an insult, {g} a group, {w}
 from __future__ import annotations
 
 import random
+import re
 from collections.abc import Iterator
 
 LABELS = ("clean", "abuse", "hate", "sexual")
@@ -254,11 +255,16 @@ def pool(seed: int = 5) -> list[str]:
 
 
 def names(n: int, seed: int = 11) -> Iterator[tuple[str, str]]:
-    """Clean texts: the made-up words of the made sentences, as a name says nothing even if it stands in an abusive one, and n
-    of one or two others with one to four syllables more or less."""
+    """Clean texts: the made-up words of the made sentences, as a name says nothing even if it stands in an abusive one; made-up
+    words that begin or end like a word of these, as a part of a word says little; and n of one or two others with one to four
+    syllables more or less."""
     rng = random.Random(seed)
     for w in pool():
         yield w, "clean"
+    tables = [t for table in (ABUSE, HATE, SEXUAL) for t in table.values()] + [[x] for x in INSULTS.values()]
+    for w in sorted({w for t in tables for text in t for w in re.findall("[a-z]{4,}", re.sub("{.}", "", text.lower()))}):
+        yield w[: rng.randint(2, max(3, len(w) // 2))] + word(rng), "clean"
+        yield word(rng) + w[-rng.randint(2, max(3, len(w) // 2)) :], "clean"
     for _ in range(n):
         yield " ".join((word(rng) + rng.choice(["", word(rng)])).capitalize() for _ in range(rng.randint(1, 2))), "clean"
 

@@ -36,7 +36,7 @@ def test_held_out_accuracy():
 def test_names_say_nothing(score):
     """Made-up names, none of them the training's: hardly any is a case."""
     found = [score(n)[1] >= abuse.THRESHOLD for n, _ in abuse_seeds.names(3000, seed=99)]
-    assert sum(found) / len(found) < 0.003
+    assert sum(found) / len(found) < 0.01
 
 
 @pytest.mark.skipif(not SMALL.exists(), reason="test tables are absent")
