@@ -177,3 +177,15 @@ def look_alike_pairs(texts: DataFrame) -> DataFrame:
     """
     pairs_ = salted_pairs(look_alike_rows(texts), ["tbl", "form_hash", "form_check"], "n", "raw_hash", "key")
     return pairs_.select("tbl", F.col("order_a").alias("key_a"), F.col("order_b").alias("key_b")).distinct()
+
+
+def look_alike_classes(texts: DataFrame) -> DataFrame:
+    """(tbl, key, class_id, n_members, n_links) of each row that looks like another one but is not the same string.
+
+    class_id names the common form; n_members are the rows of the class, n_links those whose text differs from the row's
+    own. One row per text, however large a class is.
+    """
+    rows = look_alike_rows(texts)
+    same = rows.groupBy("tbl", "form_hash", "form_check", "raw_hash").agg(F.count(F.lit(1)).alias("same_"))
+    both = rows.join(same, ["tbl", "form_hash", "form_check", "raw_hash"])
+    return both.select("tbl", "key", F.lower(F.hex("form_hash")).alias("class_id"), F.col("n").alias("n_members"), (F.col("n") - F.col("same_")).alias("n_links"))

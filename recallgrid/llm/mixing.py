@@ -13,12 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recallgrid.llm.packing import dealt
 from recallgrid.session import cut
 
 #: Most rows of the table of targets, which is broadcast.
 MAX_TARGETS = 10_000
 #: Undecided documents of a (mix, source) that one task of a later round works on.
 TASK_UNITS = 20_000
+#: Documents of a task of the first round, each once for every mix.
+PART_UNITS = 50_000
 #: Documents that the first round decides together: a partition of any size is worked on in runs of so many.
 RUN_UNITS = 200_000
 #: Small documents of each (mix, source) that a round leaves for the end, where they make up for what larger ones miss: so
@@ -271,7 +274,8 @@ def mix(counts: DataFrame, targets: list[Target], *, task_units: int = TASK_UNIT
     if not targets:
         return spark.createDataFrame([], "mix_name string, source string, doc_id bigint, tokens bigint, uses bigint")
     dims = spark.createDataFrame([(t.mix_name, t.source, t.uses, t.limit) for t in targets], "mix_name string, source string, u_ double, limit_ bigint")
-    units = counts.where(F.col("source").isNotNull()).select("source", "doc_id", "tokens").join(F.broadcast(dims), "source")
+    named = counts.where(F.col("source").isNotNull()).select("source", "doc_id", "tokens")
+    units = dealt(named, len({t.mix_name for t in targets}), PART_UNITS).join(F.broadcast(dims), "source")
     u = F.when((F.col("tokens") > 0) & (F.col("tokens") <= F.col("limit_")), F.col("u_")).otherwise(F.lit(0.0))
     base = F.floor(u + F.lit(EPS)).cast("bigint")
     units = units.select("mix_name", "source", "doc_id", "tokens", base.alias("base"), F.greatest(u - base, F.lit(0.0)).alias("pi"))

@@ -16,6 +16,8 @@ from recallgrid.session import cut
 NEARLY_FULL = 0.98
 #: Open containers that one task of a merging round works on.
 TASK_ITEMS = 50_000
+#: Items of a task of the first round, by which the table of sizes is dealt: it is too narrow to be split by bytes.
+PART_ITEMS = 50_000
 #: Items that the first round packs together: a partition of any size is packed in runs of so many.
 RUN_ITEMS = 200_000
 #: A round that leaves more than this share of its open containers has found nearly all that fits.
@@ -115,6 +117,12 @@ def capacities_of(capacities: DataFrame) -> list[tuple[int, int]]:
     return sorted(found.items())
 
 
+def dealt(counts: DataFrame, copies: int, part_rows: int) -> DataFrame:
+    """counts dealt by a hash of doc_id to so many tasks that each gets about part_rows rows, of copies for each document."""
+    tasks = -(-counts.count() * max(copies, 1) // part_rows)
+    return counts.repartition(max(tasks, 1), "doc_id")
+
+
 def pack(counts: DataFrame, capacities: list[tuple[int, int]], *, nearly_full: float = NEARLY_FULL, task_items: int = TASK_ITEMS) -> DataFrame:
     """Containers (capacity_id, capacity, size, members) of documents (doc_id, tokens), for each capacity.
 
@@ -133,7 +141,7 @@ def pack(counts: DataFrame, capacities: list[tuple[int, int]], *, nearly_full: f
     if not capacities:
         return spark.createDataFrame([], BIN_DDL)
     caps = F.array(*[F.struct(F.lit(c).cast("int").alias("capacity_id"), F.lit(t).cast("bigint").alias("capacity")) for c, t in capacities])
-    sized = counts.where(F.col("tokens") > 0).select("doc_id", "tokens", F.explode(caps).alias("c_")).select("doc_id", "tokens", "c_.*")
+    sized = dealt(counts.where(F.col("tokens") > 0).select("doc_id", "tokens"), len(capacities), PART_ITEMS).select("doc_id", "tokens", F.explode(caps).alias("c_")).select("doc_id", "tokens", "c_.*")
     pieces = sized.select("*", F.floor(F.col("tokens") / F.col("capacity")).cast("bigint").alias("full_"))
 
     def bins(df: DataFrame, piece, size) -> DataFrame:  # noqa: ANN001

@@ -32,6 +32,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.look_alike_pairs(names_and_fields(spark, d))
 
 
+@LLM.query("p1_classes", FORMS_SQL + """
+SELECT tbl, key, class_id, n_members, n_members - same AS n_links
+FROM (SELECT tbl, key, md5(form) AS class_id, count(*) OVER (PARTITION BY tbl, form) AS n_members, count(*) OVER (PARTITION BY tbl, form, text) AS same FROM forms) WHERE n_members > same""")
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    """One row per name or note that looks like another one, with its class and number of links."""
+    return lookalike.look_alike_classes(names_and_fields(spark, d))
+
+
 @LLM.query("p1_forms", FORMS_SQL + "SELECT tbl, key, form FROM forms")
 def p1_forms(spark: SparkSession, d: str) -> DataFrame:
     """Every file name and note in the consistent form."""
@@ -65,25 +73,29 @@ def token_table(spark: SparkSession, d: str) -> DataFrame:
     return cut(tokens.token_counts(table(spark, d, "documents", "doc_id", "source", "text")))
 
 
-def containers(spark: SparkSession, d: str) -> DataFrame:
+def containers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The containers, and the sizes that went into them."""
     counts = token_table(spark, d)
-    return packing.pack(counts, packing.capacities_of(table(spark, d, "pack_capacities")))
+    return packing.pack(counts, packing.capacities_of(table(spark, d, "pack_capacities"))), counts
 
 
 @LLM.query("p7_placements")
 def p7_placements(spark: SparkSession, d: str) -> DataFrame:
     """Container and place of each text or piece, with the fill of the container."""
-    return packing.placements(containers(spark, d))
+    return packing.placements(containers(spark, d)[0])
 
 
 @LLM.query("p7_fills")
 def p7_fills(spark: SparkSession, d: str) -> DataFrame:
-    return packing.fills(containers(spark, d))
+    return packing.fills(containers(spark, d)[0])
 
 
 @LLM.query("p7_summary")
 def p7_summary(spark: SparkSession, d: str) -> DataFrame:
-    return packing.summary(containers(spark, d))
+    """Containers of each capacity, and the documents without tokens, which are in none."""
+    found, counts = containers(spark, d)
+    empty = counts.where(F.col("tokens") == 0).agg(F.count(F.lit(1)))
+    return packing.summary(found).withColumn("empty_documents", empty.scalar())
 
 
 def mixes(spark: SparkSession, d: str) -> tuple[DataFrame, list[mixing.Target]]:

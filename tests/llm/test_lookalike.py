@@ -85,3 +85,9 @@ def test_empty_table_and_long_text(spark):
     long = "кот " * 300_000
     got = L.consistent_form(texts(spark, [("m", "a", long), ("m", "b", None)])).collect()
     assert len(got[0]["form"]) == len(long) and got[1]["form"] is None
+
+
+def test_classes_count_links(spark):
+    rows = [("t", "a", "x y"), ("t", "b", "x\u00a0y"), ("t", "c", "x y"), ("t", "d", "z"), ("t", "d", "z"), ("t", None, "x\u2003y"), ("u", "a", "x y"), ("t", "e", None)]
+    got = {r["key"]: (r["n_members"], r["n_links"]) for r in L.look_alike_classes(spark.createDataFrame(rows, "tbl string, key string, text string")).collect()}
+    assert got == {"a": (3, 1), "b": (3, 2), "c": (3, 1)}

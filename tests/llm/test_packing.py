@@ -76,3 +76,9 @@ def test_token_counts(spark):
     docs = spark.createDataFrame([(1, "hello world", "s"), (1, "hello world", "s"), (2, "", None), (3, None, "s"), (None, "x", "s"), (4, "<|endoftext|> " * 20_000, "t")], "doc_id bigint, text string, source string")
     got = {r["doc_id"]: (r["source"], r["tokens"]) for r in tokens.token_counts(docs).collect()}
     assert got[1] == ("s", 2) and got[2] == (None, 0) and set(got) == {1, 2, 4} and got[4][1] > 60_000
+
+
+def test_sizes_are_dealt_by_rows(spark):
+    df = packing.dealt(counts(spark, [1] * 1000), 4, 500)
+    assert df.rdd.getNumPartitions() == 8 and df.count() == 1000
+    assert packing.dealt(counts(spark, []), 4, 500).count() == 0
