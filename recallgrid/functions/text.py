@@ -263,3 +263,12 @@ def fnv_hash(a: pd.Series, b: pd.Series) -> pd.Series:
             for shift in range(0, 64, 8):
                 h = (h ^ ((v >> np.uint64(shift)) & np.uint64(0xFF))) * np.uint64(_FNV_PRIME)
     return pd.Series(h.view(np.int64))
+
+
+def fnv_sql(*values: str) -> str:
+    """The same as SQL with 128-bit integers, for values of SQL that are not negative."""
+    h = f"{_FNV_OFFSET}::HUGEINT"
+    for v in values:
+        for shift in range(0, 64, 8):
+            h = f"((xor(CAST({h} AS UBIGINT), CAST((CAST({v} AS BIGINT) >> {shift}) & 255 AS UBIGINT))::HUGEINT * {_FNV_PRIME}) % {1 << 64})"
+    return f"(({h} + {1 << 63}) % {1 << 64} - {1 << 63})"

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recallgrid.model import CLOCK as T
 from recallgrid.model import DAY
-from recallgrid.operators.sliced import with_previous
+from recallgrid.operators.sliced import SLICE, slice_of, with_previous
 from recallgrid.plans import base
 from recallgrid.plans.base import query
 from recallgrid.plans.stats import count
+from recallgrid.session import cut
 
 c = F.col
 
@@ -32,7 +33,7 @@ def days_ago(id_: Column) -> Column:
     return F.greatest(F.floor((F.lit(T.next_day_at) - F.floor(id_ / 1000)) / DAY), F.lit(0)).cast("bigint")
 
 
-def histories(reviews: DataFrame, *, training: bool, ignore_before_ms: int = 0) -> DataFrame:
+def histories(reviews: DataFrame, *, training: bool, ignore_before_ms: int = 0, width: int = SLICE) -> DataFrame:
     """(cid, id, idx, rating, delta_t, complete): the reviews of each card from which a memory state follows.
 
     Looking back from the latest review, and passing over cramming: reviews before a reset do not count; the history
@@ -40,31 +41,45 @@ def histories(reviews: DataFrame, *, training: bool, ignore_before_ms: int = 0)
     training; for a state it starts with the first rated review of at least a day after the cutoff, and is not complete.
     A card that was not rated since its reset has none. delta_t is the number of days to the review before, 0 at first.
 
-    The scan is written as a few maxima and minima per card, each combined on the map side and joined back by card, so
-    a card with very many reviews is not held in one task.
+    The scan runs over slices of time, so a card with very many reviews is not held in one task: rows are clustered by card
+    and slice once and kept; in a slice it is told what happens if a later slice has, and if it has not, a learning step.
+    One row per slice then says which of the two holds, and where the history begins.
     """
-    rows = reviews.where(c("cid").isNotNull() & ~is_cramming())
-    learn = has_rating() & (c("type") == 0)
+    wide = reviews.where(c("cid").isNotNull()).withColumn("slice_", slice_of("id", width))
     graded = has_rating() & (c("id") > ignore_before_ms) & ((c("ivl") >= 1) | (c("ivl") <= -DAY))
-    # Cramming counts here: a learning step that is the card's very last review is kept even before the cutoff.
-    ends = reviews.where(c("cid").isNotNull()).groupBy("cid").agg(F.max(F.when(is_reset(), c("id"))).alias("reset_"), F.max("id").alias("latest_"))
-    a = rows.join(ends, "cid").where(c("reset_").isNull() | (c("id") > c("reset_")))
-    last = a.groupBy("cid").agg(F.max(F.when(learn, c("id"))).alias("l_"), F.first("reset_").alias("reset_"), F.max("latest_").alias("latest_"))
-    b = a.drop("reset_", "latest_").join(last, "cid")
-    # The last review before the last run of learning steps that is no learning step ends the scan.
-    stop = b.groupBy("cid").agg(F.max(F.when(~learn & (c("id") < c("l_")), c("id"))).alias("stop_"))
-    d = b.join(stop, "cid")
-    seen = c("stop_").isNull() | (c("id") >= c("stop_"))
-    starts = d.where(seen).groupBy("cid").agg(F.min(F.when(learn & (c("stop_").isNull() | (c("id") > c("stop_"))), c("id"))).alias("run_"), F.min(F.when(graded, c("id"))).alias("grade_"), F.first("latest_").alias("latest_"))
+    told = {"plain_": ~is_cramming(), "reset_": is_reset(), "learn_": has_rating() & (c("type") == 0), "graded_": graded}
+    flags = wide.select("cid", "slice_", "id", c("ease").cast("int").alias("rating"), days_ago(c("id")).alias("day_"), *[F.coalesce(x, F.lit(False)).alias(n) for n, x in told.items()])
+    back = Window.partitionBy("cid", "slice_").orderBy(c("id").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    live = c("plain_") & (c("resets_") == 0)
+    flags = flags.withColumn("resets_", F.count_if("reset_").over(back))
+    flags = flags.withColumn("learns_", F.count_if(live & c("learn_")).over(back))
+    # Others are reviews that end a run: any but a learning step, once there was a learning step at or after it.
+    flags = flags.withColumn("others0_", F.count_if(live & ~c("learn_") & (c("learns_") > 0)).over(back)).withColumn("others1_", F.count_if(live & ~c("learn_")).over(back))
+    rows = cut(flags.drop("learns_"))
+
+    def ends(others: Column) -> list[Column]:
+        """In a slice: whether the run ends, where it begins, and the first graded review up to the one that ends it."""
+        run = F.min(F.when(live & c("learn_") & (others == 0), c("id")))
+        return [F.max(live & (others > 0)).alias("stop"), run.alias("run"), F.min(F.when(live & c("graded_") & ((others == 0) | ((others == 1) & ~c("learn_"))), c("id"))).alias("grade")]
+
+    slices = rows.groupBy("cid", "slice_").agg(F.max("reset_").alias("reset_"), F.max(live & c("learn_")).alias("learn_"), F.max("id").alias("latest_"), *[x.alias(f"{n}{k}") for k, others in enumerate((c("others0_"), c("others1_"))) for n, x in zip(("stop", "run", "grade"), ends(others), strict=True)])
+    later = Window.partitionBy("cid").orderBy(c("slice_").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("cid")
+    slices = slices.withColumn("in_run_", F.coalesce(F.max("learn_").over(later), F.lit(False)))
+    for n in ("stop", "run", "grade"):
+        slices = slices.withColumn(n, F.when(c("in_run_"), c(f"{n}1")).otherwise(c(f"{n}0")))
+    slices = slices.withColumn("over_", F.coalesce(F.max(c("reset_") | c("stop")).over(later), F.lit(False)))
+    run, grade = (F.min(F.when(~c("over_"), c(n))).over(whole) for n in ("run", "grade"))
+    slices = slices.select("cid", "slice_", run.alias("run_"), grade.alias("grade_"), F.max("latest_").over(whole).alias("latest_"))
     if training:
-        starts = starts.where(c("run_").isNotNull() & (c("run_") >= ignore_before_ms)).select("cid", c("run_").alias("from_"), F.lit(True).alias("complete"))
+        starts = slices.where(c("run_") >= ignore_before_ms).select("cid", "slice_", c("run_").alias("from_"), F.lit(True).alias("complete"))
     else:
+        # A learning step that is the card's very last review, cramming included, is kept even before the cutoff.
         old = (c("run_") < ignore_before_ms) & (c("run_") < c("latest_"))
-        run = F.when(~F.coalesce(old, F.lit(False)), c("run_"))
-        starts = starts.select("cid", F.coalesce(run, c("grade_")).alias("from_"), run.isNotNull().alias("complete")).where(c("from_").isNotNull())
-    kept = rows.join(starts, "cid").where((c("id") >= c("from_")) & has_rating())
-    kept = kept.select("cid", "id", c("ease").cast("int").alias("rating"), "complete", days_ago(c("id")).alias("day_"))
-    numbered = with_previous(kept, "cid", "id", ["day_"])
+        kept_run = F.when(~F.coalesce(old, F.lit(False)), c("run_"))
+        starts = slices.select("cid", "slice_", F.coalesce(kept_run, c("grade_")).alias("from_"), kept_run.isNotNull().alias("complete")).where(c("from_").isNotNull())
+    kept = rows.join(starts, ["cid", "slice_"]).where(c("plain_") & (c("rating") > 0) & (c("id") >= c("from_")))
+    numbered = with_previous(kept.select("cid", "slice_", "id", "rating", "complete", "day_"), "cid", "id", ["day_"])
     delta = F.coalesce(c("prev_.day_") - c("day_"), F.lit(0)).cast("bigint")
     return numbered.select("cid", "id", c("idx_").cast("bigint").alias("idx"), "rating", delta.alias("delta_t"), "complete")
 

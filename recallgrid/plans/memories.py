@@ -10,6 +10,7 @@ from recallgrid.functions import spans
 from recallgrid.model import CLOCK as T
 from recallgrid.plans import base
 from recallgrid.plans.base import query
+from recallgrid.plans.searches import REL_SQL
 from recallgrid.plans.stats import DECAY, ELAPSED, JSON, LRT, NUM, R_SQL, STATE, count, true_due
 
 c = F.col
@@ -27,10 +28,7 @@ def retrievability(spark: SparkSession, d: str) -> DataFrame:
     return base.cards(spark, d).where(mem.has_state(c("data"))).select("id", F.round(r, 9).alias("r"))
 
 
-REL = f"-(pow(greatest({R_SQL}, 0.0001), -1.0 / {DECAY}) - 1) / (pow(greatest(coalesce({NUM.format('dr')}, 0.9), 0.0001), -1.0 / {DECAY}) - 1)"
-
-
-@query("f3_relative_retrievability", f"SELECT id, round(CASE WHEN {STATE} THEN {REL} ELSE -(greatest({ELAPSED} / 86400.0, 0) + 0.001) / greatest(ivl, 1) END, 6) AS r FROM c")
+@query("f3_relative_retrievability", f"SELECT id, round({REL_SQL}, 6) AS r FROM c")
 def relative(spark: SparkSession, d: str) -> DataFrame:
     r = mem.relative_retrievability(c("data"), true_due(), c("ivl"), T)
     return base.cards(spark, d).select("id", F.round(r, 6).alias("r"))

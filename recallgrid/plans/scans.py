@@ -10,7 +10,7 @@ from recallgrid.model import CLOCK as T
 from recallgrid.plans import base
 from recallgrid.plans.base import query
 from recallgrid.plans.queues import interspersed
-from recallgrid.plans.searches import deck_sql, filtered_cards
+from recallgrid.plans.searches import deck_sql, filtered_cards, in_order, rank_sql
 from recallgrid.plans.stats import HOME, count
 from recallgrid.search.compile import search_cards
 from recallgrid.tables import table
@@ -75,7 +75,7 @@ def deck_prefix(spark: SparkSession, d: str) -> DataFrame:
     return base.decks(spark, d).where((c("name") == "Law") | F.startswith("name", F.lit("Law\x1f"))).select("id", "name")
 
 
-@query("o2_template_order", "SELECT c.id, CASE WHEN t.name LIKE '%cloze%' OR t.config LIKE '%\"cloze\"%' THEN 'Cloze' WHEN c.ord = 1 AND t.name LIKE '%reversed%' THEN 'Card 2' ELSE 'Card 1' END AS template, c.ord FROM c JOIN n ON c.nid = n.id JOIN (SELECT id, min(name) AS name, min(config) AS config FROM notetypes GROUP BY id) t ON t.id = n.mid")
+@query("o2_template_order", rank_sql("SELECT c.id, CASE WHEN t.name LIKE '%cloze%' OR t.config LIKE '%\"cloze\"%' THEN 'Cloze' WHEN c.ord = 1 AND t.name LIKE '%reversed%' THEN 'Card 2' ELSE 'Card 1' END AS template, c.ord FROM c JOIN n ON c.nid = n.id JOIN (SELECT id, min(name) AS name, min(config) AS config FROM notetypes GROUP BY id) t ON t.id = n.mid", "template, ord"))
 def template_order(spark: SparkSession, d: str) -> DataFrame:
     """Cards in the order of their templates' names; those of clozes, and those without a template, take the first."""
     col = base.collection(spark, d)
@@ -83,15 +83,14 @@ def template_order(spark: SparkSession, d: str) -> DataFrame:
     names = spark.createDataFrame(rows, "mid bigint, t_ord int, template string")
     first = names.where(c("t_ord") == 0).select("mid", c("template").alias("first_"))
     both = col.cards.select("id", "nid", "ord").join(col.notes.select(c("id").alias("nid"), "mid"), "nid").join(first, "mid").join(names.withColumnRenamed("t_ord", "ord"), ["mid", "ord"], "left")
-    return both.select("id", F.coalesce("template", "first_").alias("template"), "ord").orderBy("template", "ord", "id")
+    return in_order(both.select("id", F.coalesce("template", "first_").alias("template"), "ord"), [c("template").asc(), c("ord").asc()])
 
 
-@query("o14_custom_order", "SELECT id, reps, lapses FROM c WHERE reps > 0")
-def custom_order(spark: SparkSession, d: str, order: tuple[str, ...] = ("c.lapses / c.reps desc", "c.id asc")) -> DataFrame:
+@query("o14_custom_order", rank_sql("SELECT id, reps, lapses FROM c WHERE reps > 0", "lapses / reps DESC"))
+def custom_order(spark: SparkSession, d: str, order: tuple[str, ...] = ("lapses / reps desc",)) -> DataFrame:
     """An order given as SQL text."""
-    rows = search_cards(base.collection(spark, d), "prop:reps>0")
-    keys = [F.expr(o.rsplit(" ", 1)[0]).desc() if o.lower().endswith(" desc") else F.expr(o.rsplit(" ", 1)[0]).asc() for o in order]
-    return rows.orderBy(*keys).select("c.id", "c.reps", "c.lapses")
+    rows = search_cards(base.collection(spark, d), "prop:reps>0").select("c.id", "c.reps", "c.lapses")
+    return in_order(rows, [F.expr(o.rsplit(" ", 1)[0]).desc() if o.lower().endswith(" desc") else F.expr(o.removesuffix(" asc")).asc() for o in order])
 
 
 @query("q5_interspersed", f"""

@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recallgrid.functions import memory as mem
 from recallgrid.functions import text as tx
 from recallgrid.model import CLOCK as T
 from recallgrid.model import DAY
+from recallgrid.operators.sliced import numbered
 from recallgrid.plans import base
 from recallgrid.plans.base import query
-from recallgrid.plans.stats import DUE, JSON, LEARN_CUTOFF, NUM, R_SQL, STATE, _retention_sql, count, true_due, true_retention
+from recallgrid.plans.stats import DECAY, DUE, ELAPSED, JSON, LEARN_CUTOFF, NUM, R_SQL, STATE, _retention_sql, true_due, true_retention
 from recallgrid.search import writer
 from recallgrid.search.ast import Node, Term
 from recallgrid.search.compile import find_cards, find_notes, search_cards
@@ -184,8 +185,10 @@ def now_due(p: str = "c.") -> Column:
 NOW_DUE_SQL = f"CASE WHEN c.due > 1000000000 OR c.type = 0 THEN CAST(c.due AS BIGINT) ELSE (CAST(c.due AS BIGINT) - {T.days_elapsed}) * 86400 + {T.now} END"
 
 
-def position() -> Column:
-    return F.coalesce(mem.original_position(c("c.data")), F.when(c("c.type") == 0, c("c.due")).otherwise(F.lit(0)))
+def position(p: str = "c.") -> Column:
+    return F.coalesce(mem.original_position(c(f"{p}data")), F.when(c(f"{p}type") == 0, c(f"{p}due")).otherwise(F.lit(0)))
+
+
 POSITION_SQL = "coalesce(TRY_CAST(json_extract_string(CASE WHEN json_valid(c.data) THEN c.data END, '$.pos') AS INTEGER), CASE WHEN c.type = 0 THEN c.due ELSE 0 END)"
 DECK_NAME = "(SELECT name FROM d WHERE d.id = c.did)"
 TYPE_NAME = "(SELECT min(name) FROM notetypes t WHERE t.id = n.mid)"
@@ -218,19 +221,33 @@ CARD_ORDERS: dict[str, tuple[Callable[[], list[Column]], list[str], bool]] = {
 }
 
 
+def in_order(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """rows with rank, their place in an order that ends with the id; the places are worked out by many tasks."""
+    return numbered(rows, [*order, c("id").asc()], "rank").withColumn("rank", c("rank").cast("bigint"))
+
+
+def rank_sql(select: str, order: str) -> str:
+    """The rows of a SELECT with their place; Spark's rising orders have nulls first, its falling ones last."""
+    return f"SELECT *, row_number() OVER (ORDER BY {order}, id) AS rank FROM ({select})"
+
+
 def sorted_cards(spark: SparkSession, d: str, column: str, search: str = "", reverse: bool = False) -> DataFrame:
-    """(id, k0, ...) of the cards of a search, in the order of a browser column; names are joined from small tables."""
+    """(id, k0, ..., rank) of the cards of a search, in the order of a browser column; names are joined from small tables."""
     make, _, with_notes = CARD_ORDERS[column]
     keys = make()
     df = search_cards(base.collection(spark, d), search, with_notes)
     if column == "deck":
         df = df.join(base.decks(spark, d).select(c("id").alias("deck_id"), c("name").alias("deck_name")), c("c.did") == c("deck_id"), "left")
     if column == "note":
-        df = df.join(table(spark, d, "notetypes").groupBy(c("id").alias("type_id")).agg(F.min("name").alias("type_name")), c("n.mid") == c("type_id"), "left")
+        df = df.join(type_names(spark, d), c("n.mid") == c("type_id"), "left")
     out = df.select(c("c.id").alias("id"), *[k.alias(f"k{i}") for i, k in enumerate(keys)])
-    numbers_first = [c("k0").asc_nulls_last(), c("k1"), c("k2")] if column == "noteFld" else None
+    numbers_first = [c("k0").asc_nulls_last(), c("k1").asc(), c("k2").asc()] if column == "noteFld" else None
     order = numbers_first or [c(f"k{i}").desc() if reverse else c(f"k{i}").asc() for i in range(len(keys))]
-    return out.orderBy(*order, "id")
+    return in_order(out, order)
+
+
+def type_names(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "notetypes", "id", "name").groupBy(c("id").alias("type_id")).agg(F.min("name").alias("type_name"))
 
 
 def _sorted(column: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -239,60 +256,117 @@ def _sorted(column: str) -> Callable[[SparkSession, str], DataFrame]:
 
 for _column, (_keys, _sqls, _notes) in CARD_ORDERS.items():
     _cols = ", ".join(f"{s} AS k{i}" for i, s in enumerate(_sqls))
-    query(f"o_cards_{_column}", f"SELECT c.id, {_cols} FROM c {'JOIN n ON c.nid = n.id' if _notes else ''}")(_sorted(_column))
-
-
-#: Note mode: column -> (aggregate, its SQL, the cards that count).
-NOTE_ORDERS: dict[str, tuple[Callable[[], Column], str, Callable[[], Column], str]] = {
-    "cardMod": (lambda: F.max("mod"), "max(mod)", lambda: F.lit(True), "true"),
-    "template": (lambda: F.count(F.lit(1)).cast("bigint"), "count(*)", lambda: F.lit(True), "true"),
-    "deck": (lambda: F.countDistinct("did").cast("bigint"), "count(DISTINCT did)", lambda: F.lit(True), "true"),
-    "cardDue": (lambda: F.min(now_due("")), f"min({NOW_DUE_SQL.replace('c.', '')})", lambda: (c("odid") == 0) & (c("type") != 0) & (c("queue") > 0), "odid = 0 AND type <> 0 AND queue > 0"),
-    "cardEase": (lambda: F.round(F.avg("factor"), 6), "round(avg(factor), 6)", lambda: c("type") != 0, "type <> 0"),
-    "cardIvl": (lambda: F.round(F.avg("ivl"), 6), "round(avg(ivl), 6)", lambda: c("type").isin(2, 3), "type IN (2, 3)"),
-    "cardLapses": (lambda: F.sum("lapses").cast("bigint"), "CAST(sum(lapses) AS BIGINT)", lambda: F.lit(True), "true"),
-    "cardReps": (lambda: F.sum("reps").cast("bigint"), "CAST(sum(reps) AS BIGINT)", lambda: F.lit(True), "true"),
+    _order = ", ".join(f"k{i} ASC NULLS {'LAST' if _column == 'noteFld' and i == 0 else 'FIRST'}" for i in range(len(_sqls)))
+    query(f"o_cards_{_column}", rank_sql(f"SELECT c.id, {_cols} FROM c {'JOIN n ON c.nid = n.id' if _notes else ''}", _order))(_sorted(_column))
+
+
+@dataclass(frozen=True)
+class NoteOrder:
+    """Keys of notes: aggregates over those of their cards that count, or columns of the notes themselves."""
+
+    keys: Callable[[], list[Column]]
+    sql: list[str]
+    which: Callable[[], Column] = lambda: F.lit(True)
+    which_sql: str = "true"
+    own: bool = False
+
+
+DECK_POS_SQL = "(SELECT id AS deck_id, row_number() OVER (ORDER BY name, id) AS deck_pos FROM d)"
+NOTE_ORDERS = {
+    "cardMod": NoteOrder(lambda: [F.max("mod")], ["max(mod)"]),
+    "template": NoteOrder(lambda: [F.count(F.lit(1))], ["count(*)"]),
+    "deck": NoteOrder(lambda: [F.countDistinct("did"), F.min("deck_pos")], ["count(DISTINCT did)", "min(deck_pos)"], lambda: c("deck_pos").isNotNull(), "deck_pos IS NOT NULL"),
+    "cardDue": NoteOrder(lambda: [F.min(now_due(""))], [f"min({NOW_DUE_SQL.replace('c.', '')})"], lambda: (c("odid") == 0) & (c("type") != 0) & (c("queue") > 0), "odid = 0 AND type <> 0 AND queue > 0"),
+    "cardEase": NoteOrder(lambda: [F.round(F.avg("factor"), 6)], ["round(avg(factor), 6)"], lambda: c("type") != 0, "type <> 0"),
+    "cardIvl": NoteOrder(lambda: [F.round(F.avg("ivl"), 6)], ["round(avg(ivl), 6)"], lambda: c("type").isin(2, 3), "type IN (2, 3)"),
+    "cardLapses": NoteOrder(lambda: [F.sum("lapses").cast("bigint")], ["CAST(sum(lapses) AS BIGINT)"]),
+    "cardReps": NoteOrder(lambda: [F.sum("reps").cast("bigint")], ["CAST(sum(reps) AS BIGINT)"]),
+    "originalPosition": NoteOrder(lambda: [F.min(position(""))], [f"min({POSITION_SQL.replace('c.', '')})"]),
+    "noteCrt": NoteOrder(lambda: [c("id")], ["id"], own=True),
+    "noteMod": NoteOrder(lambda: [c("mod")], ["mod"], own=True),
+    "note": NoteOrder(lambda: [c("type_name")], ["(SELECT min(name) FROM notetypes t WHERE t.id = n.mid)"], own=True),
+    "noteFld": NoteOrder(lambda: [F.lower("sfld")], ["lower(sfld)"], own=True),
+    "noteTags": NoteOrder(lambda: [c("tags")], ["tags"], own=True),
 }
 
 
+def deck_positions(spark: SparkSession, d: str) -> DataFrame:
+    """(deck_id, deck_pos): decks by name; the window runs over decks, a dimension."""
+    return base.decks(spark, d).select(c("id").alias("deck_id"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("name", "id")).alias("deck_pos"))
+
+
 def sorted_notes(spark: SparkSession, d: str, column: str) -> DataFrame:
-    """(id, k0) of all notes by an aggregate over their cards; notes without a card that counts come first."""
-    agg, _, which, _ = NOTE_ORDERS[column]
-    per = base.cards(spark, d).where(which()).groupBy("nid").agg(agg().alias("k0"))
-    return base.notes(spark, d).select("id").join(per, c("id") == c("nid"), "left").select("id", "k0").orderBy(c("k0").asc_nulls_first(), "id")
+    """(id, k0, ..., rank) of all notes in the order of a browser column; notes without a card that counts come first."""
+    order = NOTE_ORDERS[column]
+    names = [f"k{i}" for i in range(len(order.sql))]
+    keys = [k.alias(n) for k, n in zip(order.keys(), names, strict=True)]
+    notes = base.notes(spark, d)
+    if order.own:
+        rows = (notes.join(type_names(spark, d), c("mid") == c("type_id"), "left") if column == "note" else notes).select("id", *keys)
+    else:
+        cards = base.cards(spark, d)
+        cards = cards.join(deck_positions(spark, d), c("did") == c("deck_id"), "left") if column == "deck" else cards
+        per = cards.where(order.which()).groupBy("nid").agg(*keys)
+        rows = notes.select("id").join(per, c("id") == c("nid"), "left").select("id", *names)
+    return in_order(rows, [c(n).asc() for n in names])
 
 
 def _sorted_notes(column: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, d: sorted_notes(spark, d, column)
 
 
-for _column, (_agg, _sql, _which, _where) in NOTE_ORDERS.items():
-    query(f"o_notes_{_column}", f"SELECT n.id, k.k0 FROM n LEFT JOIN (SELECT nid, {_sql} AS k0 FROM c WHERE {_where} GROUP BY nid) k ON k.nid = n.id")(_sorted_notes(_column))
-
-
-REVIEW_ORDERS: dict[str, Callable[[], list[Column]]] = {
-    "day": lambda: [c("due").asc()],
-    "day_then_deck": lambda: [c("due").asc(), c("deck_pos").asc()],
-    "deck_then_day": lambda: [c("deck_pos").asc(), c("due").asc()],
-    "intervals_ascending": lambda: [c("ivl").asc()],
-    "intervals_descending": lambda: [c("ivl").desc()],
-    "ease_ascending": lambda: [c("factor").asc()],
-    "ease_descending": lambda: [c("factor").desc()],
-    "difficulty_ascending": lambda: [mem.number(c("data"), "d").asc()],
-    "difficulty_descending": lambda: [mem.number(c("data"), "d").desc()],
-    "retrievability_ascending": lambda: [mem.retrievability(c("data"), true_due(), c("ivl"), T).asc()],
-    "retrievability_descending": lambda: [mem.retrievability(c("data"), true_due(), c("ivl"), T).desc()],
-    "relative_overdueness": lambda: [mem.relative_retrievability(c("data"), true_due(), c("ivl"), T).asc()],
-    "overdueness": lambda: [mem.overdueness(c("due"), F.nullif(c("ivl"), F.lit(0)), T).asc()],
-    "random": lambda: [],
-    "added": lambda: [c("nid").asc(), c("ord").asc()],
-    "reverse_added": lambda: [c("nid").desc(), c("ord").asc()],
-}
-NEW_ORDERS: dict[str, Callable[[int], list[Column]]] = {
-    "lowest_position": lambda salt: [c("due").asc(), c("ord").asc()],
-    "highest_position": lambda salt: [c("due").desc(), c("ord").asc()],
-    "random_notes": lambda salt: [tx.fnv_hash(c("nid"), F.lit(salt)).asc(), c("ord").asc()],
-    "random_cards": lambda salt: [tx.fnv_hash(c("id"), F.lit(salt)).asc()],
+for _column, _o in NOTE_ORDERS.items():
+    _names = [f"k{i}" for i in range(len(_o.sql))]
+    _cols = ", ".join(f"{s} AS {n}" for s, n in zip(_o.sql, _names, strict=True))
+    _cards = f"(SELECT * FROM c LEFT JOIN {DECK_POS_SQL} ON deck_id = did)" if _column == "deck" else "c"
+    _rows = f"SELECT id, {_cols} FROM n" if _o.own else f"SELECT n.id, {', '.join('k.' + n for n in _names)} FROM n LEFT JOIN (SELECT nid, {_cols} FROM {_cards} WHERE {_o.which_sql} GROUP BY nid) k ON k.nid = n.id"
+    query(f"o_notes_{_column}", rank_sql(_rows, ", ".join(f"{n} ASC NULLS FIRST" for n in _names)))(_sorted_notes(_column))
+
+
+REL_SQL = f"CASE WHEN {STATE} THEN -(pow(greatest({R_SQL}, 0.0001), -1.0 / {DECAY}) - 1) / (pow(greatest(coalesce({NUM.format('dr')}, 0.9), 0.0001), -1.0 / {DECAY}) - 1) ELSE -(greatest({ELAPSED} / 86400.0, 0) + 0.001) / greatest(ivl, 1) END"
+HASH_SQL = tx.fnv_sql("id", "mod")
+
+
+@dataclass(frozen=True)
+class Key:
+    """A sort key as a column and as SQL over c; numbers with a fraction are rounded, so that equal ones tie."""
+
+    column: Callable[[], Column]
+    sql: str
+    falling: bool = False
+
+    @property
+    def order_sql(self) -> str:
+        return "DESC NULLS LAST" if self.falling else "ASC NULLS FIRST"
+
+
+def _r() -> Column:
+    return F.round(mem.retrievability(c("data"), true_due(), c("ivl"), T), 9)
+
+
+DUE_KEY, DECK_KEY = Key(lambda: c("due"), "due"), Key(lambda: c("deck_pos"), "deck_pos")
+R_SQL9 = f"CASE WHEN {STATE} THEN round({R_SQL}, 9) END"
+RELATIVE_KEY = Key(lambda: F.round(mem.relative_retrievability(c("data"), true_due(), c("ivl"), T), 6), f"round({REL_SQL}, 6)")
+ADDED = [Key(lambda: c("nid"), "nid"), Key(lambda: c("ord"), "ord")]
+REVERSE_ADDED = [Key(lambda: c("nid"), "nid", True), Key(lambda: c("ord"), "ord")]
+HASH_KEY = Key(lambda: tx.fnv_hash(c("id"), c("mod")), HASH_SQL)
+REVIEW_ORDERS: dict[str, list[Key]] = {
+    "day": [DUE_KEY],
+    "day_then_deck": [DUE_KEY, DECK_KEY],
+    "deck_then_day": [DECK_KEY, DUE_KEY],
+    "intervals_ascending": [Key(lambda: c("ivl"), "ivl")],
+    "intervals_descending": [Key(lambda: c("ivl"), "ivl", True)],
+    "ease_ascending": [Key(lambda: c("factor"), "factor")],
+    "ease_descending": [Key(lambda: c("factor"), "factor", True)],
+    "difficulty_ascending": [Key(lambda: mem.number(c("data"), "d"), NUM.format("d"))],
+    "difficulty_descending": [Key(lambda: mem.number(c("data"), "d"), NUM.format("d"), True)],
+    "retrievability_ascending": [Key(_r, R_SQL9)],
+    "retrievability_descending": [Key(_r, R_SQL9, True)],
+    "relative_overdueness": [RELATIVE_KEY],
+    "overdueness": [Key(lambda: F.round(mem.overdueness(c("due"), F.nullif(c("ivl"), F.lit(0)), T), 9), f"round(-(1 + ({T.days_elapsed} - due + 0.001) / greatest(nullif(ivl, 0), 1)), 9)")],
+    "random": [],
+    "added": ADDED,
+    "reverse_added": REVERSE_ADDED,
 }
 
 
@@ -300,18 +374,91 @@ def salt_of(day: int) -> int:
     return day * 2_654_435_761 % (1 << 32)
 
 
+SALT = salt_of(T.days_elapsed)
+NOTE_HASH = Key(lambda: tx.fnv_hash(c("nid"), F.lit(SALT)), tx.fnv_sql("nid", str(SALT)))
+CARD_HASH = Key(lambda: tx.fnv_hash(c("id"), F.lit(SALT)), tx.fnv_sql("id", str(SALT)))
+NEW_ORDERS: dict[str, list[Key]] = {
+    "lowest_position": [DUE_KEY, ADDED[1]],
+    "highest_position": [Key(lambda: c("due"), "due", True), ADDED[1]],
+    "random_notes": [NOTE_HASH, ADDED[1]],
+    "random_cards": [CARD_HASH],
+}
+
+
+def day_hash(column: str) -> Key:
+    """The order by hash after gathering: the hash is unsigned here, so its sign bit is turned for comparing."""
+    sql = f"({tx.fnv_sql(column, str(T.days_elapsed))} + {1 << 64}) % {1 << 64}"
+    return Key(lambda: (tx.fnv_hash(c(column), F.lit(T.days_elapsed)).bitwiseXOR(F.lit(-(1 << 63)))), f"CAST({sql} - {1 << 63} AS BIGINT)")
+
+
+#: Sorting after new cards are gathered, which here is in the order of their position.
+GATHERED = [DUE_KEY, ADDED[1], Key(lambda: c("id"), "id")]
+AFTER_ORDERS: dict[str, list[Key]] = {
+    "template": [ADDED[1], *GATHERED],
+    "no_sort": GATHERED,
+    "template_then_random": [ADDED[1], day_hash("id")],
+    "random_note_then_template": [day_hash("nid"), ADDED[1]],
+    "random_card": [day_hash("id")],
+}
+FILTERED_ORDERS: dict[str, list[Key]] = {
+    "oldest_reviewed": [Key(lambda: c("last_review"), "last_review")],
+    "intervals_ascending": REVIEW_ORDERS["intervals_ascending"],
+    "intervals_descending": REVIEW_ORDERS["intervals_descending"],
+    "lapses": [Key(lambda: c("lapses"), "lapses", True)],
+    "added": ADDED,
+    "reverse_added": REVERSE_ADDED,
+    "due": [Key(lambda: F.when(c("due") > mem.DUE_IS_TIME, c("due").cast("bigint")).otherwise((c("due").cast("bigint") - T.days_elapsed) * DAY + T.now), f"CASE WHEN due > 1000000000 THEN CAST(due AS BIGINT) ELSE (CAST(due AS BIGINT) - {T.days_elapsed}) * 86400 + {T.now} END"), ADDED[1]],
+    "retrievability_ascending": REVIEW_ORDERS["retrievability_ascending"],
+    "retrievability_descending": REVIEW_ORDERS["retrievability_descending"],
+    "relative_overdueness": [RELATIVE_KEY],
+    "random": [Key(lambda: tx.fnv_hash(c("id"), F.lit(42)), tx.fnv_sql("id", "42"))],
+}
+
+
+def keyed(rows: DataFrame, keys: list[Key]) -> tuple[DataFrame, list[Column]]:
+    """(id, k0, ...) of rows, and the order by these keys."""
+    out = rows.select("id", *[k.column().alias(f"k{i}") for i, k in enumerate(keys)])
+    return out, [c(f"k{i}").desc() if k.falling else c(f"k{i}").asc() for i, k in enumerate(keys)]
+
+
+def keyed_sql(source: str, keys: list[Key]) -> str:
+    return rank_sql(f"SELECT id, {', '.join(f'{k.sql} AS k{i}' for i, k in enumerate(keys))} FROM {source}", ", ".join(f"k{i} {k.order_sql}" for i, k in enumerate(keys)))
+
+
+def ordered_query(name: str, source: Callable[[SparkSession, str], DataFrame], source_sql: str, keys: list[Key]) -> None:
+    """Registers the rows of source with their keys and places."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return in_order(*keyed(source(spark, d), keys))
+
+    query(name, keyed_sql(source_sql, keys))(run)
+
+
+def due_cards(spark: SparkSession, d: str) -> DataFrame:
+    """Due review cards with the place of their deck."""
+    rows = base.cards(spark, d).where((c("queue") == 2) & (c("due") <= T.days_elapsed))
+    return rows.join(deck_positions(spark, d), c("did") == c("deck_id"), "left")
+
+
+def new_cards(spark: SparkSession, d: str) -> DataFrame:
+    return base.cards(spark, d).where(c("queue") == 0)
+
+
 def due_reviews(cards: DataFrame, order: str, limit: int | None = None) -> DataFrame:
     """Due review cards in a review order; ties in the order of a hash of id and mod. A limit keeps only the first rows of
     each partition before the rows meet."""
     rows = cards.where((c("queue") == 2) & (c("due") <= T.days_elapsed))
-    out = rows.orderBy(*REVIEW_ORDERS[order](), tx.fnv_hash(c("id"), c("mod")), "id")
+    out = rows.orderBy(*[k.column().desc() if k.falling else k.column().asc() for k in [*REVIEW_ORDERS[order], HASH_KEY]], "id")
     return out.limit(limit) if limit is not None else out
 
 
-@query("o20_review_orders", "SELECT 'x' AS o, count(*) AS n FROM c WHERE queue = 2 AND due <= 5000")
-def review_orders(spark: SparkSession, d: str) -> DataFrame:
-    """All due reviews in the order of relative overdueness, counted."""
-    return due_reviews(base.cards(spark, d).withColumn("deck_pos", c("did")), "relative_overdueness").agg(F.lit("x").alias("o"), count())
+DUE_SQL = f"(SELECT * FROM c LEFT JOIN {DECK_POS_SQL} ON deck_id = did WHERE queue = 2 AND due <= {T.days_elapsed})"
+for _name, _keys in REVIEW_ORDERS.items():
+    ordered_query(f"o20_{_name}", due_cards, DUE_SQL, [*_keys, HASH_KEY])
+for _name, _keys in NEW_ORDERS.items():
+    ordered_query(f"o22_{_name}", new_cards, "(SELECT * FROM c WHERE queue = 0)", _keys)
+for _name, _keys in AFTER_ORDERS.items():
+    ordered_query(f"o23_{_name}", new_cards, "(SELECT * FROM c WHERE queue = 0)", _keys)
 
 
 @query("o21_overdueness", f"SELECT id, round(-(1 + ({T.days_elapsed} - due + 0.001) / greatest(ivl, 1)), 6) AS overdueness FROM c WHERE queue = 2 AND due <= {T.days_elapsed}")
@@ -320,57 +467,30 @@ def overdue(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", F.round(mem.overdueness(c("due"), c("ivl"), T), 6).alias("overdueness")).orderBy("overdueness", "id")
 
 
-@query("o22_new_order", "SELECT id, due, ord FROM c WHERE queue = 0 ORDER BY due, ord, id LIMIT 100")
-def new_order(spark: SparkSession, d: str) -> DataFrame:
-    """The first hundred new cards by position: a top-k report."""
-    return base.cards(spark, d).where(c("queue") == 0).select("id", "due", "ord").orderBy(*NEW_ORDERS["lowest_position"](0), "id").limit(100)
-
-
-@query("o23_new_random_notes")
-def new_random(spark: SparkSession, d: str) -> DataFrame:
-    """New cards with siblings together, in an order that is stable within a day."""
-    salt = salt_of(T.days_elapsed)
-    rows = base.cards(spark, d).where(c("queue") == 0).select("id", "nid", "ord", tx.fnv_hash(c("nid"), F.lit(salt)).alias("hash"))
-    return rows.orderBy("hash", "ord", "id")
-
-
-FILTERED_ORDERS: dict[str, Callable[[], list[Column]]] = {
-    "oldest_reviewed": lambda: [c("last_review").asc()],
-    "intervals_ascending": lambda: [c("ivl").asc()],
-    "intervals_descending": lambda: [c("ivl").desc()],
-    "lapses": lambda: [c("lapses").desc()],
-    "added": lambda: [c("nid").asc(), c("ord").asc()],
-    "reverse_added": lambda: [c("nid").desc()],
-    "due": lambda: [c("due").asc()],
-    "retrievability_ascending": lambda: [mem.retrievability(c("data"), true_due(), c("ivl"), T).asc()],
-    "retrievability_descending": lambda: [mem.retrievability(c("data"), true_due(), c("ivl"), T).desc()],
-    "relative_overdueness": lambda: [mem.relative_retrievability(c("data"), true_due(), c("ivl"), T).asc()],
-    "random": lambda: [F.xxhash64(c("id"), F.lit(42)).asc()],
-}
+def filtered_candidates(spark: SparkSession, d: str, search: str) -> DataFrame:
+    """The cards of a search without suspended, buried and already filtered ones, with the time of their last review."""
+    text = f"({search}) -is:suspended -is:buried -deck:filtered" if search.strip() else "-is:suspended -is:buried -deck:filtered"
+    col = base.collection(spark, d)
+    last = col.revlog.where(c("cid").isNotNull()).groupBy("cid").agg(F.max("id").alias("last_review"))
+    return search_cards(col, text).select("c.*").join(last, c("id") == c("cid"), "left").drop("cid")
 
 
 def filtered_cards(spark: SparkSession, d: str, search: str, order: str, limit: int) -> DataFrame:
-    """What a filtered deck takes: the search without suspended, buried and already filtered cards, ordered and limited.
-    Positions count from -100000; the random order has an explicit seed."""
-    text = f"({search}) -is:suspended -is:buried -deck:filtered" if search.strip() else "-is:suspended -is:buried -deck:filtered"
-    col = base.collection(spark, d)
-    rows = search_cards(col, text).select("c.*")
-    if order == "oldest_reviewed":
-        last = col.revlog.where(c("cid").isNotNull()).groupBy("cid").agg(F.max("id").alias("last_review"))
-        rows = rows.join(last, c("id") == c("cid"), "left")
-    return rows.orderBy(*FILTERED_ORDERS[order](), tx.fnv_hash(c("id"), c("mod")), "id").limit(limit)
+    """What a filtered deck takes: its candidates, ordered and limited. The random order has an explicit seed; a column that
+    no key needs is not read."""
+    keys = [*FILTERED_ORDERS[order], HASH_KEY]
+    return filtered_candidates(spark, d, search).orderBy(*[k.column().desc() if k.falling else k.column().asc() for k in keys], "id").limit(limit)
 
 
-@query("o24_filtered_lapses", "SELECT id, lapses FROM c WHERE queue NOT IN (-1, -2, -3) AND odid = 0 AND lapses >= 1")
-def filtered_lapses(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates of a filtered deck in the order of lapses."""
-    rows = search_cards(base.collection(spark, d), "(prop:lapses>=1) -is:suspended -is:buried -deck:filtered").select("c.*")
-    return rows.orderBy(*FILTERED_ORDERS["lapses"](), tx.fnv_hash(c("id"), c("mod"))).select("id", "lapses")
+FILTERED_SQL = "(SELECT c.*, l.last_review FROM c LEFT JOIN (SELECT cid, max(id) AS last_review FROM r GROUP BY cid) l ON l.cid = c.id WHERE queue NOT IN (-1, -2, -3) AND odid = 0 AND lapses >= 1)"
+for _name, _keys in FILTERED_ORDERS.items():
+    ordered_query(f"o24_{_name}", lambda spark, d: filtered_candidates(spark, d, "prop:lapses>=1"), FILTERED_SQL, [*_keys, HASH_KEY])
 
 
-@query("o25_learning_order", "SELECT id, reps, due FROM c WHERE queue IN (1, 4)")
+@query("o25_learning_order", rank_sql("SELECT id, reps, due FROM c WHERE queue IN (1, 4)", "reps = 0, due"))
 def learning_order(spark: SparkSession, d: str) -> DataFrame:
-    return base.cards(spark, d).where(c("queue").isin(1, 4)).select("id", "reps", "due").orderBy(c("reps") == 0, "due", "id")
+    rows = base.cards(spark, d).where(c("queue").isin(1, 4)).select("id", "reps", "due")
+    return in_order(rows, [(c("reps") == 0).asc(), c("due").asc()])
 
 
 @query("o26_media_page", "SELECT fname, usn FROM (SELECT DISTINCT * FROM media) WHERE usn > 50000 ORDER BY usn, fname LIMIT 1000")

@@ -181,10 +181,10 @@ def test_histories_as_the_backward_scan(spark):
         rows += [(cid, *e) for e in own]
         want[cid] = own
     df = spark.createDataFrame(rows, "cid int, id bigint, type int, ease int, ivl int, factor int")
-    for training in (True, False):
+    for training, width in ((True, 21_600_000), (True, 30 * DAY * 1000), (False, 15 * DAY * 1000), (False, 21_600_000)):
         for before in (0, (CLOCK.next_day_at - 40 * DAY) * 1000):
             got = {}
-            for r in histories(df, training=training, ignore_before_ms=before).collect():
+            for r in histories(df, training=training, ignore_before_ms=before, width=width).collect():
                 got.setdefault(r["cid"], []).append((r["id"], r["idx"], r["rating"], r["delta_t"], r["complete"]))
             for cid, own in want.items():
                 assert sorted(got.get(cid, [])) == brute_history(own, training, before), (cid, training, before, own)

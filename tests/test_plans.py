@@ -50,3 +50,20 @@ def test_latest_version(spark):
 
 def test_checkpoints_of_local_sessions_have_one_folder(spark):
     assert checkpoint_dir(spark).startswith(f"file:{LOCAL_CHECKPOINTS}")
+
+
+def test_histories_read_the_reviews_once(spark):
+    """One scan, whose rows are kept; what follows reads only these."""
+    from recallgrid.plans.history import histories
+
+    df = histories(base.revlog(spark, SMALL), training=True)
+    assert "revlog.parquet" not in plan(df) and "ExistingRDD" in plan(df)
+
+
+def test_hash_as_sql():
+    import duckdb
+
+    from recallgrid.functions import text as tx
+
+    for a, b in ((0, 0), (1_752_394_711_927, 5_000), (1 << 40, 1_759_370_000)):
+        assert duckdb.connect().execute(f"SELECT {tx.fnv_sql(str(a), str(b))}").fetchone()[0] == tx.fnv1a(a, b)
