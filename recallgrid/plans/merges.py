@@ -50,12 +50,13 @@ def sync_merge(spark: SparkSession, d: str) -> DataFrame:
     return merge.sync_rows(side(spark, d, False), side(spark, d, True)).select("id", "usn", "mod")
 
 
-@query("m5_revlog_merge", "SELECT count(DISTINCT id) AS n FROM revlog WHERE id IS NOT NULL")
+@query("m5_revlog_merge", f"SELECT id, coalesce(min(usn) FILTER (usn <= {SIDE}), min(usn)) AS usn FROM revlog WHERE id IS NOT NULL GROUP BY id")
 def revlog_merge(spark: SparkSession, d: str) -> DataFrame:
     """Reviews of both sides, each id once: inserting again changes nothing, so late rows need no rule."""
     rows = table(spark, d, "revlog", "id", "usn").where(c("id").isNotNull())
     local, remote = rows.where(c("usn") <= SIDE), rows.where(c("usn") > SIDE)
-    return merge.insert_or_ignore(local.distinct().groupBy("id").agg(F.min("usn").alias("usn")), remote, ["id"]).agg(count())
+    first = F.min("usn").alias("usn")
+    return merge.insert_or_ignore(local.groupBy("id").agg(first), remote.groupBy("id").agg(first), ["id"])
 
 
 @query("m6_deck_merge", "SELECT id, max(mtime_secs) AS mtime_secs FROM decks GROUP BY id")
@@ -236,7 +237,9 @@ def unused_media(spark: SparkSession, d: str) -> DataFrame:
     return files.join(media_names(spark, d).select("fname").distinct(), "fname", "left_anti")
 
 
-@query("m26_backups_kept")
+@query("m26_backups_kept", """
+, b AS (SELECT DISTINCT id // 86400000 AS day FROM r), w AS (SELECT day, 20363 - day AS age, row_number() OVER (ORDER BY day DESC) AS k, row_number() OVER (PARTITION BY day // 7 ORDER BY day DESC) = 1 AS week, row_number() OVER (PARTITION BY day // 30 ORDER BY day DESC) = 1 AS month FROM b)
+SELECT day, age <= 2 OR k <= 12 OR (week AND count(*) FILTER (week) OVER down <= 10) OR (month AND count(*) FILTER (month) OVER down <= 9) AS keep FROM w WINDOW down AS (ORDER BY day DESC)""")
 def backups_kept(spark: SparkSession, d: str) -> DataFrame:
     """Days with reviews as if each had a backup: which would be kept."""
     days = base.revlog(spark, d).select(F.floor(c("id") / 86_400_000).alias("day")).distinct()

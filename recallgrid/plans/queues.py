@@ -170,7 +170,13 @@ def gathered_reviews(spark: SparkSession, d: str) -> DataFrame:
     return hi.within_limits(rows, "path", [c("due"), c("id")], LIMITS, DEPTH).select("id", "due")
 
 
-@query("q3_gathered_new")
+HASH_SQL = tx.fnv_sql("c.nid", str(salt_of(T.days_elapsed)))
+
+
+@query("q3_gathered_new", f"""
+, x AS (SELECT c.id, c.nid, c.ord, CAST({HASH_SQL} AS BIGINT) AS hash, string_split(d.name, chr(31))[1] AS top FROM c JOIN d ON c.did = d.id WHERE c.queue = 0),
+y AS (SELECT *, row_number() OVER (PARTITION BY top ORDER BY hash, ord, id) AS k FROM x)
+SELECT id, nid, ord, hash FROM y LEFT JOIN (VALUES {LIMIT_ROWS}) l(top, most) USING (top) WHERE most IS NULL OR k <= most""")
 def gathered_new(spark: SparkSession, d: str) -> DataFrame:
     """New cards in a random order of notes that is stable for the day, under the same limits."""
     new = base.cards(spark, d).where(c("queue") == 0)
@@ -178,6 +184,104 @@ def gathered_new(spark: SparkSession, d: str) -> DataFrame:
     return hi.within_limits(rows, "path", [c("hash"), c("ord"), c("id")], LIMITS, DEPTH).select("id", "nid", "ord", "hash")
 
 
+# --- limits of the day -----------------------------------------------------------------------------------------------
+
+PRESET_ROWS = ", ".join(f"({k}, {x.review}, {x.new}, {str(x.new_within_review).lower()})" for k, x in PRESET_LIMITS.items())
+LIMITS_SQL = f"""
+, seen AS (SELECT cid, min(id) AS first_, count(*) FILTER (id > {TODAY_MS} AND type = 1) AS reviews FROM r WHERE cid IS NOT NULL AND ease > 0 GROUP BY cid),
+done AS (SELECT {HOME} AS did, count(*) FILTER (first_ > {TODAY_MS}) AS new_, CAST(sum(reviews) AS BIGINT) AS rev_ FROM seen JOIN c ON c.id = seen.cid GROUP BY 1),
+preset AS (SELECT d.id, d.name, p.*, coalesce(done.new_, 0) AS new_, coalesce(done.rev_, 0) AS rev_ FROM d
+  LEFT JOIN (VALUES {PRESET_ROWS}) p(config, per_review, per_new, within) ON p.config = TRY_CAST(json_extract_string(CASE WHEN json_valid(d.kind) THEN d.kind END, '$.normal.config_id') AS INTEGER) LEFT JOIN done ON done.did = d.id),
+limits AS (SELECT id, name, CAST(CASE WHEN config IS NULL THEN 9999 ELSE greatest(per_review - rev_ - CASE WHEN within THEN new_ ELSE 0 END, 0) END AS BIGINT) AS review,
+  CAST(CASE WHEN config IS NULL THEN 9999 WHEN within THEN greatest(least(per_new - new_, per_review - rev_ - new_), 0) ELSE greatest(per_new - new_, 0) END AS BIGINT) AS new FROM preset)"""
+
+
+def remaining_limits(spark: SparkSession, d: str) -> DataFrame:
+    """(id, name, review, new): what each deck may still show today: the limits of its preset without what was answered.
+
+    A card is new today if its first answer is of today. Where new cards count as reviews, they use up the review limit,
+    and no more of them are shown than it allows. Decks without a preset have no limit. Answers are counted per card
+    before they are joined.
+    """
+    rows = base.revlog(spark, d).where(c("cid").isNotNull() & (c("ease") > 0))
+    seen = rows.groupBy("cid").agg((F.min("id") > TODAY_MS).cast("int").alias("new_"), F.count_if((c("id") > TODAY_MS) & (c("type") == 1)).alias("rev_"))
+    home = base.cards(spark, d).select("id", F.when(c("odid") == 0, c("did")).otherwise(c("odid")).alias("did"))
+    done = seen.join(home, c("cid") == c("id")).groupBy("did").agg(F.sum("new_").alias("new_"), F.sum("rev_").alias("rev_"))
+    presets = F.broadcast(spark.createDataFrame([(k, x.review, x.new, x.new_within_review) for k, x in PRESET_LIMITS.items()], "config int, per_review int, per_new int, within boolean"))
+    decks = base.decks(spark, d).select("id", "name", F.get_json_object("kind", "$.normal.config_id").try_cast("int").alias("config"))
+    rows = decks.join(presets, "config", "left").join(done, c("id") == c("did"), "left")
+    new, rev = F.coalesce("new_", F.lit(0)), F.coalesce("rev_", F.lit(0))
+    within = F.coalesce("within", F.lit(False))
+    review = F.greatest(c("per_review") - rev - F.when(within, new).otherwise(0), F.lit(0))
+    fresh = F.greatest(F.when(within, F.least(c("per_new") - new, c("per_review") - rev - new)).otherwise(c("per_new") - new), F.lit(0))
+    free = c("per_review").isNull()
+    return rows.select("id", "name", F.when(free, 9999).otherwise(review).cast("bigint").alias("review"), F.when(free, 9999).otherwise(fresh).cast("bigint").alias("new"))
+
+
+@query("h5_remaining_limits", LIMITS_SQL + " SELECT * FROM limits")
+def h5_remaining_limits(spark: SparkSession, d: str) -> DataFrame:
+    return remaining_limits(spark, d)
+
+
+@query("h6_limit_tree", LIMITS_SQL + """
+SELECT k.id, k.name, min(a.review) AS review, min(a.new) AS new FROM limits k JOIN limits a ON a.name = k.name OR starts_with(k.name, a.name || chr(31)) GROUP BY ALL""")
+def limit_tree(spark: SparkSession, d: str) -> DataFrame:
+    """The limits of each deck, no larger than those of the decks above it; a join on the names of ancestors."""
+    own = remaining_limits(spark, d)
+    up = own.select("id", "name", F.explode(hi.prefixes(hi.path_of(c("name"), "\x1f"))).alias("above"))
+    return up.join(own.select(c("name").alias("above"), "review", "new"), "above").groupBy("id", "name").agg(F.min("review").alias("review"), F.min("new").alias("new"))
+
+
+def limited_sql(select: str, kind: str, order: str, depth: int = 4) -> str:
+    """Rows (id, ..., name) that the limits of all levels allow, from the deepest level up."""
+    steps = [f"x{depth} AS (SELECT *, string_split(name, chr(31)) AS path FROM ({select}))"]
+    for level in range(depth, 0, -1):
+        node = f"CASE WHEN len(path) >= {level} THEN array_to_string(path[1:{level}], chr(31)) END"
+        ranked = f"SELECT *, {node} AS node, row_number() OVER (PARTITION BY {node} ORDER BY {order}) AS k FROM x{level}"
+        steps.append(f"x{level - 1} AS (SELECT y.* EXCLUDE (node, k) FROM ({ranked}) y LEFT JOIN limits l ON l.name = y.node WHERE l.name IS NULL OR k <= l.{kind})")
+    return LIMITS_SQL + ", " + ", ".join(steps)
+
+
+def limited(spark: SparkSession, d: str, cards: DataFrame, kind: str, order: list[Column]) -> DataFrame:
+    """The cards that today's limits of their decks and of all decks above allow; limits are one row per deck."""
+    limits = {r["name"]: r[kind] for r in small_rows(remaining_limits(spark, d).select("name", kind))}
+    return hi.within_limits(with_deck_path(cards, base.decks(spark, d)), "path", order, limits, DEPTH)
+
+
+@query("q2_limited_reviews", limited_sql(f"SELECT c.id, c.due, d.name FROM c JOIN d ON c.did = d.id WHERE c.queue IN (2, 3) AND c.due <= {T.days_elapsed}", "review", "queue_ DESC, due, id").replace("SELECT c.id, c.due, d.name", "SELECT c.id, c.due, c.queue AS queue_, d.name") + " SELECT id, due FROM x0")
+def limited_reviews(spark: SparkSession, d: str) -> DataFrame:
+    """Interday learning first, then reviews by day, under today's limits at every level."""
+    due = base.cards(spark, d).where(c("queue").isin(2, 3) & (c("due") <= T.days_elapsed)).select("id", "did", "due", "queue")
+    return limited(spark, d, due, "review", [c("queue").desc(), c("due"), c("id")]).select("id", "due")
+
+
+NEW_SQL = "SELECT c.id, c.due, c.ord, {0} c.nid, d.name FROM c JOIN d ON c.did = d.id WHERE c.queue = 0"
+#: Orders in which new cards are gathered, the columns by name; a minus is a falling one.
+GATHER = {
+    "deck": ["path", "due", "ord", "id"],
+    "lowest_position": ["due", "ord", "id"],
+    "highest_position": ["-due", "ord", "id"],
+    "random_notes": ["note_hash", "ord", "id"],
+    "random_cards": ["card_hash", "id"],
+    "deck_then_random_notes": ["path", "note_hash", "ord", "id"],
+}
+
+
+def _gather(name: str) -> None:
+    order_sql = ", ".join(f"{x[1:]} DESC" if x[0] == "-" else x for x in GATHER[name])
+    salt = salt_of(T.days_elapsed)
+    hashes = f"{HASH_SQL} AS note_hash, {tx.fnv_sql('c.id', str(salt))} AS card_hash,"
+
+    @query(f"q3_limited_{name}", limited_sql(NEW_SQL.format(hashes), "new", order_sql) + " SELECT id FROM x0")
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        new = base.cards(spark, d).where(c("queue") == 0).select("id", "did", "nid", "due", "ord", tx.fnv_hash(c("nid"), F.lit(salt)).alias("note_hash"), tx.fnv_hash(c("id"), F.lit(salt)).alias("card_hash"))
+        return limited(spark, d, new, "new", [c(x[1:]).desc() if x[0] == "-" else c(x) for x in GATHER[name]]).select("id")
+
+
+for _name in GATHER:
+    _gather(_name)
+
+
 @query("q4_buried_siblings", f"SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY nid ORDER BY due, id) AS k FROM c WHERE queue = 2 AND due <= {T.days_elapsed}) WHERE k > 1")
 def buried_siblings(spark: SparkSession, d: str) -> DataFrame:
     """Due reviews that an earlier sibling hides: all but the first of each note."""

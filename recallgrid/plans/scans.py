@@ -129,7 +129,9 @@ def config_prefix(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "notetypes", "id", "name").where(F.startswith("name", F.lit("Basic"))).distinct()
 
 
-@query("g30_period_limits")
+@query("g30_period_limits", f"""
+, a AS (SELECT CAST(coalesce(ceil(({T.next_day_at} - min(id) / 1000) / 86400), 1) AS BIGINT) AS days FROM c), k AS (SELECT days, CASE WHEN days <= 31 THEN 1 WHEN days <= 365 THEN 7 ELSE 30 END AS chunk FROM a)
+SELECT 'month' AS period, 31 AS bars, 1 AS days UNION ALL SELECT 'year', 52, 7 UNION ALL SELECT 'life', CAST(ceil(days / chunk) AS INTEGER), chunk FROM k""")
 def period_limits(spark: SparkSession, d: str) -> DataFrame:
     """Number and length in days of the bars of a month, a year and the whole time."""
     days = base.cards(spark, d).agg(F.ceil((T.next_day_at - F.min("id") / 1000) / 86_400)).collect()[0][0] or 1

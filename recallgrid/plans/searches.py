@@ -51,6 +51,10 @@ DAYS_DUE = f"CAST(trunc(({DUE.replace('odue', 'c.odue').replace('ELSE due', 'ELS
 TRUE_DUE_SQL = "(CASE WHEN c.odue <> 0 THEN c.odue ELSE c.due END)"
 CLOZE = "n.mid IN (SELECT id FROM notetypes WHERE config LIKE '%\"cloze\"%')"
 
+#: A note's first field without markup but the names of media, as the text of a search for its duplicates.
+FIRST_SQL = r"""replace(replace(regexp_replace(regexp_replace(split_part(n.flds, chr(31), 1), '(?is)<(?:img|audio|video|object|source)\b[^>]*?\b(?:src|data)\s*=\s*(?:"([^">]*)"|''([^''>]*)''|([^\s>"'']+))[^>]*>', ' \1\2\3 ', 'g'), '(?s)<.*?>', '', 'g'), '&nbsp;', ' '), chr(160), ' ')"""
+DUPE_SQL = f"n.mid = 1008379549705 AND n.csum = ('0x' || substr(sha1('Define: Kikawyse'), 1, 8))::BIGINT AND {FIRST_SQL} = 'Define: Kikawyse'"
+
 #: (name, search, what is found, condition over c and n; None: no SQL, tested against brute force)
 SEARCHES: list[tuple[str, str | Node, str, str | None]] = [
     ("p1_text", "bridge", "notes", "n.sfld ILIKE '%bridge%' OR n.flds ILIKE '%bridge%'"),
@@ -58,20 +62,20 @@ SEARCHES: list[tuple[str, str | Node, str, str | None]] = [
     ("p3_field", "front:*harvest*", "notes", field_sql("front", "{f} ILIKE '%harvest%'")),
     ("p3_field_nonempty", "back:_*", "notes", field_sql("back", "{f} LIKE '_%'")),
     ("p3_field_empty", "hint:", "notes", field_sql("hint", "{f} = ''")),
-    ("p4_field_accents", "back:nc:*raiz*", "notes", None),
+    ("p4_field_accents", "back:nc:*raiz*", "notes", field_sql("back", "strip_accents({f}) ILIKE '%raiz%'")),
     ("p5_field_regex", r'"back:re:^the \w+"', "notes", field_sql("back", r"regexp_matches({f}, '(?i)^the \w+')")),
     ("p6_any_field", "*:*river*", "notes", any_field_sql("regexp_matches(f, '(?is)^.*river.*$')")),
     ("p7_any_field_regex", r"*:re:^\d{2,3}.kinds", "notes", any_field_sql(r"regexp_matches(f, '(?i)^\d{2,3}.kinds')")),
     ("p8_regex", r"re:\d+.kinds", "notes", r"regexp_matches(n.flds, '(?i)\d+.kinds')"),
-    ("p9_word", "w:muscle", "notes", None),
-    ("p10_accents", "nc:raiz", "notes", None),
+    ("p9_word", "w:muscle", "notes", r"regexp_matches(n.flds, '(?i)(^|[^\pL\pM\pN_])muscle([^\pL\pM\pN_]|$)')"),
+    ("p10_accents", "nc:raiz", "notes", f"{tx.plain_sql('n.sfld')} ILIKE '%raiz%' OR {tx.plain_sql('n.flds')} ILIKE '%raiz%'"),
     ("p11_cloze", "sc:the", "notes", rf"{CLOZE} AND (regexp_replace(n.sfld, '(?s)\{{\{{c[\d,]+::(.*?)(::.*?)?\}}\}}', '\1', 'g') ILIKE '%the%' OR regexp_replace(n.flds, '(?s)\{{\{{c[\d,]+::(.*?)(::.*?)?\}}\}}', '\1', 'g') ILIKE '%the%')"),
     ("p12_tag", "tag:lang", "notes", "regexp_matches(n.tags, '(?i).* lang(::| ).*')"),
     ("p12_tag_glob", "tag:ch0_", "notes", r"regexp_matches(n.tags, '(?i).* ch0\S(::| ).*')"),
     ("p13_tag_none", "tag:none", "notes", "n.tags = ''"),
     ("p13_tag_any", "tag:*", "notes", "true"),
     ("p14_tag_regex", r"tag:re:^ch0\d$", "notes", r"len(list_filter(regexp_split_to_array(n.tags, '[ 　]'), lambda t: regexp_matches(t, '(?i)^ch0\d$'))) > 0"),
-    ("p14_tag_accents", "tag:nc:geografia", "notes", None),
+    ("p14_tag_accents", "tag:nc:geografia", "notes", f"regexp_matches({tx.plain_sql('n.tags')}, '(?i).* geografia(::| ).*')"),
     ("p15_deck", "deck:history", "cards", deck_sql("history")),
     ("p15_deck_glob", "deck:med*::*", "cards", deck_sql("med.*\\x1f.*")),
     ("p16_deck_filtered", "deck:filtered", "cards", "c.odid <> 0"),
@@ -112,7 +116,7 @@ SEARCHES: list[tuple[str, str | Node, str, str | None]] = [
     ("p32_prop_retrievability", "prop:r<0.8", "cards", f"c.type <> 0 AND {STATE} AND {R_SQL} < 0.8"),
     ("p33_custom_number", "prop:cdn:k>1", "cards", f"TRY_CAST(json_extract_string(json_extract_string({JSON}, '$.cd'), '$.k') AS DOUBLE) > 1"),
     ("p33_custom_key", "-has-cd:k", "cards", f"json_extract_string(json_extract_string({JSON}, '$.cd'), '$.k') IS NULL"),
-    ("p34_dupe", '"dupe:1008379549705,Define: Kikawyse"', "notes", None),
+    ("p34_dupe", '"dupe:1008379549705,<b>Define:</b>&nbsp;Kikawyse"', "notes", DUPE_SQL),
     ("p35_all", "", "cards", "true"),
     ("b2_and_or", "(tag:marked OR is:due) -is:suspended deck:history", "cards", f"(regexp_matches(n.tags, '(?i).* marked(::| ).*') OR (c.queue IN (2, 3) AND c.due <= {T.days_elapsed}) OR (c.queue IN (1, 4) AND c.due <= {LEARN_CUTOFF})) AND NOT c.queue = -1 AND {deck_sql('history')}"),
     ("b3_not_rated", "-rated:30 or flag:1", "cards", f"NOT {rated_sql(f'id >= {ms(30)}', 'ease > 0')} OR (c.flags & 7) = 1"),

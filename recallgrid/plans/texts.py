@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recallgrid.functions import answerdiff, cloze, template
+from recallgrid.functions import memory as mem
 from recallgrid.functions import text as tx
+from recallgrid.model import CLOCK as T
 from recallgrid.plans import base
 from recallgrid.plans.base import query
-from recallgrid.plans.stats import count
+from recallgrid.plans.searches import REL_SQL
+from recallgrid.plans.stats import R_SQL, STATE, count
 from recallgrid.tables import table
 
 c = F.col
@@ -51,7 +54,7 @@ def composed(spark: SparkSession, d: str) -> DataFrame:
     return base.notes(spark, d).select("id", "flds", tx.nfc(c("flds")).alias("x")).where(c("x") != c("flds")).select("id", c("x").alias("flds"))
 
 
-@query("t8_without_accents")
+@query("t8_without_accents", f"SELECT id, {tx.plain_sql('sfld')} AS sfld FROM n")
 def without_accents(spark: SparkSession, d: str) -> DataFrame:
     return base.notes(spark, d).select("id", tx.without_accents(c("sfld")).alias("sfld"))
 
@@ -88,10 +91,12 @@ def cloze_numbers(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", F.explode(cloze.cloze_numbers(c("flds"))).alias("number"))
 
 
-@query("c4_cloze_answers", r"SELECT id, regexp_extract(flds, '(?s)\{\{c1::(.*?)(::.*?)?\}\}', 1) AS answer FROM n WHERE regexp_matches(flds, '\{\{c1::') AND len(regexp_extract_all(flds, '\{\{c1::')) = 1")
+@query("c4_cloze_answers", r"""
+, a AS (SELECT id, regexp_extract_all(flds, '(?s)\{\{c1::(.*?)(?:::.*?)?\}\}', 1) AS a FROM n)
+SELECT id, CASE WHEN len(list_distinct(a)) = 1 THEN a[1] ELSE array_to_string(a, ', ') END AS answer FROM a WHERE len(a) > 0""")
 def cloze_answers(spark: SparkSession, d: str) -> DataFrame:
-    """What has to be typed for the first cloze, where there is just one."""
-    rows = base.notes(spark, d).where(F.size(F.regexp_extract_all("flds", F.lit(r"\{\{c1::"), F.lit(0))) == 1)
+    """What has to be typed for the first cloze of every note that has it."""
+    rows = base.notes(spark, d).where(F.contains("flds", F.lit("{{c1::")))
     return rows.select("id", cloze.cloze_answer(c("flds"), F.lit(1)).alias("answer"))
 
 
@@ -173,7 +178,7 @@ def answer_diffs(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", answerdiff.compare_answers(c("b"), c("a")).alias("diff"))
 
 
-@query("fnv_of_cards")
+@query("fnv_of_cards", f"SELECT id, CAST({tx.fnv_sql('id', 'mod')} AS BIGINT) AS hash FROM c")
 def fnv_of_cards(spark: SparkSession, d: str) -> DataFrame:
     return base.cards(spark, d).select("id", tx.fnv_hash(c("id"), c("mod")).alias("hash"))
 
@@ -189,6 +194,33 @@ def register(spark: SparkSession, d: str) -> None:
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION extract_original_position(data STRING) RETURNS INT RETURN try_cast(get_json_object(data, '$.pos') AS INT)")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION extract_custom_data(data STRING, k STRING) RETURNS STRING RETURN get_json_object(get_json_object(data, '$.cd'), concat('$.', k))")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION extract_fsrs_variable(data STRING, k STRING) RETURNS DOUBLE RETURN try_cast(get_json_object(data, concat('$.', k)) AS DOUBLE)")
+    spark.udf.register("process_text", tx.process_text)
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION regexp_fields(pattern STRING, flds STRING, ords ARRAY<INT> DEFAULT array()) RETURNS BOOLEAN RETURN exists(transform(split(flds, '\\u001f'), (f, i) -> (size(ords) = 0 OR array_contains(ords, i)) AND f RLIKE pattern), x -> x)")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION regexp_tags(pattern STRING, tags STRING) RETURNS BOOLEAN RETURN exists(split(tags, ' '), t -> t RLIKE pattern)")
+    number = "try_cast(get_json_object(data, '$.{}') AS DOUBLE)".format
+    decay = f"coalesce({number('decay')}, {mem.DECAY_5}D)"
+    last = "try_cast(get_json_object(data, '$.lrt') AS BIGINT)"
+    elapsed = f"(CASE WHEN {last} IS NOT NULL THEN greatest(now - {last}, 0) WHEN due > {mem.DUE_IS_TIME_MEMORY} THEN greatest(now - (due - ivl), 0) ELSE greatest(today - (due - ivl), 0) * 86400 END / 86400D)"
+    curve = f"pow(1 + (pow(0.9D, -1 / {decay}) - 1) * {elapsed} / {number('s')}, -{decay})"
+    known = f"{number('s')} IS NOT NULL AND {number('d')} IS NOT NULL"
+    # The day's end is an argument for the sake of the usual form; days are counted by today.
+    args = "data STRING, due BIGINT, ivl BIGINT, today BIGINT, next_day_at BIGINT, now BIGINT"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION extract_fsrs_retrievability({args}) RETURNS DOUBLE RETURN CASE WHEN {known} THEN {curve} END")
+    relative = f"-(pow(greatest({curve}, 0.0001D), -1 / {decay}) - 1) / (pow(greatest(coalesce({number('dr')}, 0.9D), 0.0001D), -1 / {decay}) - 1)"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION extract_fsrs_relative_retrievability({args}) RETURNS DOUBLE RETURN CASE WHEN {known} THEN {relative} ELSE -(greatest({elapsed}, 0D) + 0.001D) / greatest(ivl, 1) END")
+
+
+@query("snk5_functions", f"""
+SELECT k.id, r, relative, regexp_matches(split_part(n.flds, chr(31), 1), 'the') AS in_first, regexp_matches(n.flds, '[0-9]') AS in_any, len(list_filter(string_split(n.tags, ' '), lambda t: regexp_matches(t, '^lang'))) > 0 AS tagged
+FROM (SELECT id, nid, round({R_SQL}, 6) AS r, round({REL_SQL}, 6) AS relative FROM c WHERE type = 2 AND {STATE}) k JOIN n ON k.nid = n.id""")
+def sql_functions(spark: SparkSession, d: str) -> DataFrame:
+    """The functions of the SQL surface in one statement."""
+    register(spark, d)
+    args = f"c.data, CASE WHEN c.odue <> 0 THEN c.odue ELSE c.due END, c.ivl, {T.days_elapsed}, {T.next_day_at}, {T.now}"
+    return spark.sql(f"""
+SELECT c.id, round(extract_fsrs_retrievability({args}), 6) AS r, round(extract_fsrs_relative_retrievability({args}), 6) AS relative,
+       regexp_fields('the', n.flds, array(0)) AS in_first, regexp_fields('[0-9]', n.flds) AS in_any, regexp_tags('^lang', n.tags) AS tagged
+FROM cards c JOIN notes n ON c.nid = n.id WHERE c.type = 2 AND extract_fsrs_variable(c.data, 's') IS NOT NULL AND extract_fsrs_variable(c.data, 'd') IS NOT NULL""")
 
 
 @query("snk5_raw_sql", "SELECT d.name, count(*) AS n, CAST(sum(length(split_part(n.flds, chr(31), 1))) AS BIGINT) AS chars FROM c JOIN n ON c.nid = n.id JOIN d ON c.did = d.id GROUP BY d.name")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import html
 import math
 import re
 from collections.abc import Callable
@@ -166,7 +165,7 @@ class Compiler:
         return plain.rlike(regex(f".* {wanted}(::| ).*"))
 
     def t_dupe(self, mid: int, text: str) -> Column:
-        plain = html.unescape(re.sub(r"(?s)<.*?>", "", text))
+        plain = tx.plain_keep_media(text)
         csum = int(hashlib.sha1(plain.encode()).hexdigest()[:8], 16)
         first = tx.strip_html_keep_media(tx.field_at(self.note("flds"), 0))
         return (self.note("mid") == mid) & (self.note("csum") == csum) & (first == plain)

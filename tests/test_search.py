@@ -1,11 +1,12 @@
 """Parser, writer, builder and compiler of the search language."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from recallgrid.model import CLOCK, Catalog, Deck, Notetype
 from recallgrid.search import writer
 from recallgrid.search.ast import All, Any, Group, Not, SearchError, Term
-from recallgrid.search.compile import Collection, compile_search, find_cards, find_notes
+from recallgrid.search.compile import Collection, Compiler, compile_search, find_cards, find_notes
 from recallgrid.search.parser import parse
 
 T = Term
@@ -109,3 +110,20 @@ def test_tables_are_read_only_where_needed(col):
     assert not compile_search(col, "dog tag:x").cards
     assert "Join" not in find_cards(col, "is:due")._jdf.queryExecution().toString()
     assert find_cards(col, "dog").count() == 1
+
+
+def test_dupe_keeps_names_of_media(spark):
+    """The text of a duplicate search and the field are stripped alike: names of media stay, entities become characters."""
+    import hashlib
+
+    from recallgrid.functions import text as tx
+
+    field = '<b>a</b>&nbsp;<img src="x y.jpg">'
+    plain = tx.plain_keep_media(field)
+    assert plain == "a  x y.jpg "
+    row = spark.createDataFrame([(field,)], "f string").select(tx.strip_html_keep_media(F.col("f"))).collect()[0][0]
+    assert row == plain
+    csum = int(hashlib.sha1(plain.encode()).hexdigest()[:8], 16)
+    found = Compiler(None).t_dupe(5, field)
+    notes = spark.createDataFrame([(1, 5, field + "\x1fback", csum), (2, 5, "a", csum), (3, 6, field, csum)], "id int, mid int, flds string, csum bigint").alias("n")
+    assert [r["id"] for r in notes.where(found).select("id").collect()] == [1]
