@@ -9,6 +9,7 @@ from recallgrid.functions import text as tx
 from recallgrid.model import CLOCK as T
 from recallgrid.model import small_rows
 from recallgrid.operators import hierarchy as hi
+from recallgrid.operators.skew import join_one_to_many
 from recallgrid.operators.sliced import numbered
 from recallgrid.plans import base
 from recallgrid.plans.base import query
@@ -282,11 +283,22 @@ for _name in GATHER:
     _gather(_name)
 
 
-@query("q4_buried_siblings", f"SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY nid ORDER BY due, id) AS k FROM c WHERE queue = 2 AND due <= {T.days_elapsed}) WHERE k > 1")
+KIND_SQL = f"CASE WHEN queue IN (1, 4) AND due <= {T.next_day_at} THEN 0 WHEN queue = 3 AND due <= {T.days_elapsed} THEN 1 WHEN queue = 2 AND due <= {T.days_elapsed} THEN 2 WHEN queue = 0 THEN 3 END"
+
+
+@query("q4_buried_siblings", f"""
+, k AS (SELECT id, nid, due, {KIND_SQL} AS kind FROM c)
+SELECT id, CAST(kind AS INTEGER) AS kind FROM (SELECT *, row_number() OVER (PARTITION BY nid ORDER BY kind, due, id) AS n FROM k WHERE kind IS NOT NULL AND nid IS NOT NULL) WHERE n > 1 AND kind > 0""")
 def buried_siblings(spark: SparkSession, d: str) -> DataFrame:
-    """Due reviews that an earlier sibling hides: all but the first of each note."""
-    due = base.cards(spark, d).where((c("queue") == 2) & (c("due") <= T.days_elapsed))
-    return due.withColumn("k_", F.row_number().over(Window.partitionBy("nid").orderBy("due", "id"))).where(c("k_") > 1).select("id")
+    """Cards that a sibling hides which is gathered before them: learning of the day, other learning, reviews, new cards.
+
+    Learning of the day is never hidden. Only the first card of each note is worked out, by a minimum that combines on the
+    map side; notes with very many cards are matched by broadcast. Cards without a note have no siblings.
+    """
+    kind = F.when(c("queue").isin(1, 4) & (c("due") <= T.next_day_at), 0).when((c("queue") == 3) & (c("due") <= T.days_elapsed), 1).when((c("queue") == 2) & (c("due") <= T.days_elapsed), 2).when(c("queue") == 0, 3)
+    rows = base.cards(spark, d).select("id", "nid", "due", kind.alias("kind")).where(c("kind").isNotNull() & c("nid").isNotNull())
+    first = rows.groupBy("nid").agg(F.min(F.struct("kind", "due", "id"))["id"].alias("first_"), F.count(F.lit(1)).alias("n_"))
+    return join_one_to_many(rows, first.where(c("n_") > 1), ["nid"], "n_").where((c("id") != c("first_")) & (c("kind") > 0)).select("id", "kind")
 
 
 def interspersed(first: DataFrame, second: DataFrame, n1: int, n2: int) -> DataFrame:
