@@ -10,7 +10,7 @@ from recallgrid.operators import hierarchy as hi
 from recallgrid.operators import merge, replay
 from recallgrid.plans import base
 from recallgrid.plans.base import query
-from recallgrid.plans.searches import deck_sql
+from recallgrid.plans.searches import deck_sql, first_sql
 from recallgrid.plans.stats import count, n_if
 from recallgrid.search.compile import find_cards
 from recallgrid.tables import table
@@ -96,16 +96,27 @@ def export_decks(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("m11_text_import", f"""
-, i AS (SELECT id, mid, split_part(flds, chr(31), 1) AS f, flds FROM n WHERE usn > {SIDE} OR usn = -1), o AS (SELECT mid, split_part(flds, chr(31), 1) AS f, min(id) AS nid, count(*) AS k FROM n WHERE usn <= {SIDE} AND usn <> -1 GROUP BY 1, 2)
-SELECT i.id, CASE WHEN i.f = '' THEN 'empty_first' WHEN o.nid IS NULL THEN 'new' WHEN o.k > 1 THEN 'ambiguous' ELSE 'duplicate' END AS result, o.nid FROM i LEFT JOIN o ON i.mid = o.mid AND i.f = o.f""")
+, x AS (SELECT id, mid, CASE WHEN id % 2 = 1 THEN nullif(guid, '') END AS key, guid, usn > {SIDE} OR usn = -1 AS newer, {first_sql('flds')} AS f FROM n), i AS (SELECT * FROM x WHERE newer),
+g AS (SELECT guid, min(id) AS nid FROM x WHERE NOT newer GROUP BY 1), o AS (SELECT mid, f, min(id) AS nid, count(*) AS k FROM x WHERE NOT newer GROUP BY 1, 2)
+SELECT i.id, CASE WHEN g.nid IS NOT NULL THEN 'same_guid' WHEN i.key IS NOT NULL THEN 'new' WHEN i.f = '' THEN 'empty_first' WHEN o.nid IS NULL THEN 'new' WHEN o.k > 1 THEN 'ambiguous' ELSE 'duplicate' END AS result, coalesce(g.nid, o.nid) AS nid
+FROM i LEFT JOIN g ON g.guid = i.key LEFT JOIN o ON i.key IS NULL AND i.f <> '' AND i.mid = o.mid AND i.f = o.f""")
 def text_import(spark: SparkSession, d: str) -> DataFrame:
-    """What an import of the newer notes would do: the first field is matched by checksum, then by the text itself."""
-    notes = base.notes(spark, d).withColumn("f", tx.field_at(c("flds"), 0)).withColumn("sum_", tx.field_checksum(c("f")))
-    old = notes.where((c("usn") <= SIDE) & (c("usn") != -1)).groupBy("mid", "sum_", "f").agg(F.min("id").alias("nid"), count("k"))
-    new = notes.where((c("usn") > SIDE) | (c("usn") == -1)).select("id", "mid", "sum_", "f")
-    both = new.join(old, ["mid", "sum_", "f"], "left")
+    """What an import of the newer notes would do, every second of which comes without its guid.
+
+    A note with a guid is matched by it alone; one without by its note type and first field without markup, by checksum and
+    text. Empty first fields match nothing.
+    """
+    plain = tx.strip_html_keep_media(tx.field_at(c("flds"), 0))
+    notes = base.notes(spark, d).select("id", "mid", "usn", "guid", plain.alias("f")).withColumn("sum_", tx.field_checksum(c("f")))
+    newer = (c("usn") > SIDE) | (c("usn") == -1)
+    old = notes.where(~newer)
+    by_guid = old.groupBy(c("guid").alias("key")).agg(F.min("id").alias("guid_nid"))
+    by_field = old.where(c("f") != "").groupBy("mid", "sum_", "f").agg(F.min("id").alias("nid"), count("k"))
+    new = notes.where(newer).select("id", "mid", "sum_", "f", F.when(c("id") % 2 == 1, F.nullif("guid", F.lit(""))).alias("key"))
+    named = new.where(c("key").isNotNull()).join(by_guid, "key", "left").select("id", F.when(c("guid_nid").isNotNull(), "same_guid").otherwise("new").alias("result"), c("guid_nid").alias("nid"))
+    rest = new.where(c("key").isNull()).join(by_field, ["mid", "sum_", "f"], "left")
     result = F.when(c("f") == "", "empty_first").when(c("nid").isNull(), "new").when(c("k") > 1, "ambiguous").otherwise("duplicate")
-    return both.select("id", result.alias("result"), "nid")
+    return named.unionByName(rest.select("id", result.alias("result"), "nid"))
 
 
 @query("m12_package_import", f"""

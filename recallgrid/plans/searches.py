@@ -51,9 +51,16 @@ DAYS_DUE = f"CAST(trunc(({DUE.replace('odue', 'c.odue').replace('ELSE due', 'ELS
 TRUE_DUE_SQL = "(CASE WHEN c.odue <> 0 THEN c.odue ELSE c.due END)"
 CLOZE = "n.mid IN (SELECT id FROM notetypes WHERE config LIKE '%\"cloze\"%')"
 
-#: A note's first field without markup but the names of media, as the text of a search for its duplicates.
-FIRST_SQL = r"""replace(replace(regexp_replace(regexp_replace(split_part(n.flds, chr(31), 1), '(?is)<(?:img|audio|video|object|source)\b[^>]*?\b(?:src|data)\s*=\s*(?:"([^">]*)"|''([^''>]*)''|([^\s>"'']+))[^>]*>', ' \1\2\3 ', 'g'), '(?s)<.*?>', '', 'g'), '&nbsp;', ' '), chr(160), ' ')"""
-DUPE_SQL = f"n.mid = 1008379549705 AND n.csum = ('0x' || substr(sha1('Define: Kikawyse'), 1, 8))::BIGINT AND {FIRST_SQL} = 'Define: Kikawyse'"
+STRIPPED = r"replace(replace(replace(replace(replace(regexp_replace(regexp_replace({0}, '(?is)<!--.*?-->|<style.*?>.*?</style>|<script.*?>.*?</script>', '', 'g'), '(?s)<.*?>', '', 'g'), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), chr(160), ' ')"
+MEDIA_SQL = r"""'(?is)<(?:img|audio|video|object|source)\b[^>]*?\b(?:src|data)\s*=\s*(?:"([^">]*)"|''([^''>]*)''|([^\s>"'']+))[^>]*>', ' \1\2\3 ', 'g'"""
+
+
+def first_sql(flds: str) -> str:
+    """A note's first field without markup but the names of media."""
+    return STRIPPED.format(f"regexp_replace(split_part({flds}, chr(31), 1), {MEDIA_SQL})")
+
+
+DUPE_SQL = f"n.mid = 1008379549705 AND n.csum = ('0x' || substr(sha1('Define: Kikawyse'), 1, 8))::BIGINT AND {first_sql('n.flds')} = 'Define: Kikawyse'"
 
 #: (name, search, what is found, condition over c and n; None: no SQL, tested against brute force)
 SEARCHES: list[tuple[str, str | Node, str, str | None]] = [

@@ -14,12 +14,11 @@ from recallgrid.functions import text as tx
 from recallgrid.model import CLOCK as T
 from recallgrid.plans import base
 from recallgrid.plans.base import query
-from recallgrid.plans.searches import REL_SQL
+from recallgrid.plans.searches import REL_SQL, STRIPPED, first_sql
 from recallgrid.plans.stats import R_SQL, STATE, count
 from recallgrid.tables import table
 
 c = F.col
-STRIPPED = r"replace(replace(replace(replace(replace(regexp_replace(regexp_replace({0}, '(?is)<!--.*?-->|<style.*?>.*?</style>|<script.*?>.*?</script>', '', 'g'), '(?s)<.*?>', '', 'g'), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), chr(160), ' ')"
 
 
 @query("t1_strip_html", f"SELECT id, {STRIPPED.format('flds')} AS text FROM n")
@@ -65,17 +64,20 @@ def checksum_mismatch(spark: SparkSession, d: str) -> DataFrame:
     return base.notes(spark, d).where(c("csum").isNull() | (c("csum") != tx.field_checksum(c("sfld")))).select("id")
 
 
-@query("t13_first_field_states", """
-, f AS (SELECT id, mid, flds, split_part(flds, chr(31), 1) AS f FROM n), k AS (SELECT mid, f, count(*) AS k FROM f GROUP BY 1, 2)
-SELECT f.id, CASE WHEN f.f = '' THEN 'empty' WHEN k.k > 1 THEN 'duplicate' WHEN t.config LIKE '%"cloze"%' AND NOT regexp_matches(f.flds, '\\{\\{c[1-9]') THEN 'missing_cloze' WHEN t.config NOT LIKE '%"cloze"%' AND regexp_matches(f.flds, '\\{\\{c[1-9]') THEN 'no_cloze_type' ELSE 'normal' END AS state
-FROM f LEFT JOIN k ON k.mid IS NOT DISTINCT FROM f.mid AND k.f = f.f LEFT JOIN (SELECT id, min(config) AS config FROM notetypes GROUP BY id) t ON t.id = f.mid""".replace("\\\\", "\\"))
+@query("t13_first_field_states", f"""
+, f AS (SELECT id, mid, flds, {first_sql('flds')} AS f FROM n), k AS (SELECT mid, f, count(*) AS k FROM f GROUP BY 1, 2)
+SELECT f.id, CASE WHEN f.f = '' THEN 'empty' WHEN k.k > 1 THEN 'duplicate' WHEN t.config LIKE '%"cloze"%' AND NOT regexp_matches(f.flds, '\\{{\\{{c[1-9]') THEN 'missing_cloze' WHEN t.config NOT LIKE '%"cloze"%' AND regexp_matches(f.flds, '\\{{\\{{c[1-9]') THEN 'no_cloze_type' ELSE 'normal' END AS state
+FROM f LEFT JOIN k ON k.mid IS NOT DISTINCT FROM f.mid AND k.f = f.f LEFT JOIN (SELECT id, min(config) AS config FROM notetypes GROUP BY id) t ON t.id = f.mid""")
 def field_states(spark: SparkSession, d: str) -> DataFrame:
-    """State of each note's first field: empty, duplicate within its type, cloze marks missing or out of place."""
-    notes = base.notes(spark, d).select("id", F.coalesce("mid", F.lit(-1)).alias("mid"), "flds", tx.field_at(c("flds"), 0).alias("f"))
-    same = notes.groupBy("mid", "f").agg(count("k"))
-    types = table(spark, d, "notetypes").groupBy(c("id").alias("mid")).agg(F.contains(F.min("config"), F.lit('"cloze"')).alias("is_cloze"))
+    """State of each note's first field without markup: empty, duplicate within its type, cloze marks missing or out of
+    place. Notes are counted by the checksum and the text of the field; empty fields, of which there may be very many, are
+    not counted."""
+    first = tx.strip_html_keep_media(tx.field_at(c("flds"), 0))
+    notes = base.notes(spark, d).select("id", F.coalesce("mid", F.lit(-1)).alias("mid"), "flds", first.alias("f"))
+    same = notes.where(c("f") != "").groupBy("mid", "f").agg(count("k")).where(c("k") > 1)
+    types = table(spark, d, "notetypes", "id", "config").groupBy(c("id").alias("mid")).agg(F.contains(F.min("config"), F.lit('"cloze"')).alias("is_cloze"))
     marked = c("flds").rlike(r"\{\{c[1-9]")
-    rows = notes.join(same, ["mid", "f"]).join(types, "mid", "left")
+    rows = notes.join(same, ["mid", "f"], "left").join(types, "mid", "left")
     state = F.when(c("f") == "", "empty").when(c("k") > 1, "duplicate").when(c("is_cloze") & ~marked, "missing_cloze").when(~c("is_cloze") & marked, "no_cloze_type").otherwise("normal")
     return rows.select("id", state.alias("state"))
 
