@@ -89,33 +89,38 @@ class Grammar:
 TAGS = Grammar(blanks_separate=True)
 LIST_FIELD = Grammar(blanks_separate=False)
 GRAMMARS = {"tags": TAGS, "flds": LIST_FIELD}
+#: The same with square brackets, inside which nothing separates.
+BRACKETED = {"tags": Grammar(blanks_separate=True, brackets="[]"), "flds": Grammar(blanks_separate=False, brackets="[]")}
 
 OUT = pa.schema([("id", pa.int64()), ("fld", pa.string()), ("pos", pa.int32()), ("val", pa.string()), ("kind", pa.string()), ("error", pa.string())])
 #: Rows of one result batch, so that very long fields do not make very large batches.
 BATCH_ROWS = 20_000
 
 
-def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cols: list[list] = [[] for _ in OUT]
+def _splitter(grammars: dict[str, Grammar]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cols: list[list] = [[] for _ in OUT]
 
-    def flush() -> pa.RecordBatch:
-        out = pa.record_batch([pa.array(c, t.type) for c, t in zip(cols, OUT, strict=True)], schema=OUT)
-        for c in cols:
-            c.clear()
-        return out
+        def flush() -> pa.RecordBatch:
+            out = pa.record_batch([pa.array(c, t.type) for c, t in zip(cols, OUT, strict=True)], schema=OUT)
+            for c in cols:
+                c.clear()
+            return out
 
-    for batch in batches:
-        for id_, fld, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            for pos, val, kind, flag in GRAMMARS[fld].parse(text):
-                for c, x in zip(cols, (id_, fld, pos, val, kind, flag or None), strict=True):
-                    c.append(x)
-                if len(cols[0]) >= BATCH_ROWS:
-                    yield flush()
-    if cols[0]:
-        yield flush()
+        for batch in batches:
+            for id_, fld, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                for pos, val, kind, flag in grammars[fld].parse(text):
+                    for c, x in zip(cols, (id_, fld, pos, val, kind, flag or None), strict=True):
+                        c.append(x)
+                    if len(cols[0]) >= BATCH_ROWS:
+                        yield flush()
+        if cols[0]:
+            yield flush()
 
+    return run
 
-def split_values(packed: DataFrame) -> DataFrame:
+
+def split_values(packed: DataFrame, grammars: dict[str, Grammar] = GRAMMARS) -> DataFrame:
     """(id, fld, pos, val, kind, error) of each value in packed (id, fld, text); fld names the grammar, 'tags' or 'flds'.
 
     pos counts from 1 within (id, fld); empty values have none; values that occur twice keep both. White space around a
@@ -125,7 +130,7 @@ def split_values(packed: DataFrame) -> DataFrame:
     Defined cases: null and empty texts give no rows; a repeated row counts once; a null id is kept as null.
     """
     rows = packed.select("id", "fld", "text").where(F.col("text").isNotNull() & (F.col("text") != "")).distinct()
-    return rows.mapInArrow(_split, "id bigint, fld string, pos int, val string, kind string, error string")
+    return rows.mapInArrow(_splitter(grammars), "id bigint, fld string, pos int, val string, kind string, error string")
 
 
 def packed_fields(notes: DataFrame, fields: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -16,6 +17,8 @@ from recallgrid.plans import base
 from recallgrid.plans.base import query
 from recallgrid.plans.searches import REL_SQL, STRIPPED, first_sql
 from recallgrid.plans.stats import R_SQL, STATE, count
+from recallgrid.session import checkpoint_dir
+from recallgrid.sources import delimited
 from recallgrid.tables import table
 
 c = F.col
@@ -231,3 +234,27 @@ def raw_sql(spark: SparkSession, d: str) -> DataFrame:
     register(spark, d)
     return spark.sql("SELECT d.name, count(*) AS n, sum(length(field_at_index(n.flds, 0))) AS chars FROM cards c JOIN notes n ON c.nid = n.id JOIN decks d ON c.did = d.id GROUP BY d.name")
 
+
+
+# --- sinks and sources -----------------------------------------------------------------------------------------------
+
+CELL_SQL = "CASE WHEN regexp_matches({0}, '[\"\\t\\n\\r]|^#') THEN '\"' || replace({0}, '\"', '\"\"') || '\"' ELSE {0} END"
+
+
+@query("snk1_note_lines", f"""
+, w AS (SELECT max(len(string_split(flds, chr(31)))) AS width FROM n), x AS (SELECT id, list_transform(range(width), lambda i: coalesce(string_split(flds, chr(31))[i + 1], '')) || [array_to_string(list_filter(regexp_split_to_array(tags, '[ \u3000]'), lambda t: t <> ''), ' ')] AS cells FROM n, w)
+SELECT id, array_to_string(list_transform(cells, lambda x: {CELL_SQL.format('x')}), chr(9)) AS line FROM x""")
+def note_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The notes as the lines of an export."""
+    notes = base.notes(spark, d)
+    return notes.select("id", delimited.note_line(delimited.widest(notes)).alias("line"))
+
+
+@query("src10_round_trip", r"""
+SELECT guid, list_transform(range((SELECT max(len(string_split(flds, chr(31)))) FROM n)), lambda i: regexp_replace(trim(coalesce(string_split(flds, chr(31))[i + 1], '')), '\r\n|\n', '<br>', 'g')) AS fields, list_sort(list_distinct(list_filter(regexp_split_to_array(tags, '[ 　]'), lambda t: t <> ''))) AS tags FROM n""")
+def round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Notes written as delimited text into the shared folder and imported again by their header lines."""
+    notes = base.notes(spark, d)
+    path = f"{checkpoint_dir(spark)}/notes-{uuid.uuid4().hex}"
+    delimited.write_notes(notes, path, extra={"guid": c("guid")})
+    return delimited.read_notes(spark, path, n_columns=delimited.widest(notes) + 2, multiline=True).select("guid", "fields", F.array_sort("tags").alias("tags"))

@@ -133,21 +133,30 @@ def quoted(c: Column) -> Column:
     return F.when(text.rlike(r'["\t\n\r]|^#'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
 
 
+def widest(notes: DataFrame) -> int:
+    """Fields of the widest note."""
+    return notes.agg(F.coalesce(F.max(F.size(tx.fields_of(F.col("flds")))), F.lit(1))).collect()[0][0]
+
+
+def note_line(width: int, *, with_html: bool = True, with_tags: bool = True, extra: dict[str, Column] | None = None) -> Column:
+    """A note as a line of tab-separated text, its fields padded to a width; extra are leading cells."""
+    cells = [*(extra or {}).values(), *[tx.field_at(F.col("flds"), i) if with_html else tx.to_text_line(tx.field_at(F.col("flds"), i), keep_media=True) for i in range(width)]]
+    if with_tags:
+        cells.append(F.array_join(tx.tag_list(F.col("tags")), " "))
+    return F.concat_ws("\t", *[quoted(x) for x in cells])
+
+
 def write_notes(notes: DataFrame, path: str, *, with_html: bool = True, with_tags: bool = True, extra: dict[str, Column] | None = None, width: int | None = None) -> None:
     """Notes as tab-separated text, fields padded to the widest note; extra are leading columns such as guid or deck.
 
     Every part file begins with the header lines, so each is a file to import by itself.
     """
-    width = width or notes.agg(F.coalesce(F.max(F.size(tx.fields_of(F.col("flds")))), F.lit(1))).collect()[0][0]
-    extra = extra or {}
+    width, extra = width or widest(notes), extra or {}
     head = ["#separator:tab", f"#html:{'true' if with_html else 'false'}"]
     head += [f"#{name} column:{i}" for i, name in enumerate(extra, 1)]
     if with_tags:
         head.append(f"#tags column:{len(extra) + width + 1}")
-    cells = [*extra.values(), *[tx.field_at(F.col("flds"), i) if with_html else tx.to_text_line(tx.field_at(F.col("flds"), i), keep_media=True) for i in range(width)]]
-    if with_tags:
-        cells.append(F.array_join(tx.tag_list(F.col("tags")), " "))
-    lines = notes.select(F.concat_ws("\t", *[quoted(x) for x in cells]).alias("value"))
+    lines = notes.select(note_line(width, with_html=with_html, with_tags=with_tags, extra=extra).alias("value"))
 
     def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(head, pa.string())], names=["value"])
