@@ -160,6 +160,25 @@ def tag_renamed(spark: SparkSession, d: str) -> DataFrame:
     return base.notes(spark, d).where(F.exists(merge.rename_tag(tags, "med", "renamed"), lambda t: F.startswith(t, F.lit("renamed")))).select("id")
 
 
+TAGS_SQL = "list_filter(regexp_split_to_array(tags, '[ \u3000]'), lambda t: t <> '')"
+
+
+@query("m16_tags_removed", f"SELECT id, len(list_distinct(list_transform(list_filter({TAGS_SQL}, lambda t: NOT (lower(t) = 'lang' OR starts_with(lower(t), 'lang::'))), lambda t: lower(t)))) AS n FROM n WHERE regexp_matches(tags, '(?i)(^|[ \u3000])lang(::|[ \u3000]|$)')")
+def tags_removed(spark: SparkSession, d: str) -> DataFrame:
+    """Notes that lose a tag and those below it, with the number of tags they keep."""
+    rows = base.notes(spark, d).select("id", tx.tag_list(c("tags")).alias("old"))
+    kept = merge.remove_tags(c("old"), ["lang"])
+    hit = F.exists(c("old"), lambda t: (F.lower(t) == "lang") | F.startswith(F.lower(t), F.lit("lang::")))
+    return rows.where(hit).select("id", F.size(F.array_distinct(F.transform(kept, F.lower))).alias("n"))
+
+
+@query("m16_tags_in_use", f"SELECT t AS tag, count(DISTINCT id) AS n FROM (SELECT id, unnest({TAGS_SQL}) AS t FROM n) GROUP BY t")
+def tags_in_use(spark: SparkSession, d: str) -> DataFrame:
+    """Tags that notes have, with their number of notes; all others are to be cleared."""
+    rows = base.notes(spark, d).select("id", F.explode(F.array_distinct(tx.tag_list(c("tags")))).alias("tag"))
+    return rows.groupBy("tag").agg(count())
+
+
 @query("m17_tag_completion", "SELECT DISTINCT tag FROM (SELECT unnest(regexp_split_to_array(tags, '[ 　]')) AS tag FROM n) WHERE lower(tag) LIKE '%me%' ORDER BY NOT starts_with(lower(tag), 'me'), lower(tag), tag LIMIT 20")
 def tag_completion(spark: SparkSession, d: str) -> DataFrame:
     tags = base.notes(spark, d).select(F.explode(tx.tag_list(c("tags"))).alias("tag"))
@@ -263,6 +282,14 @@ def renamed_decks(spark: SparkSession, d: str) -> DataFrame:
     return base.decks(spark, d).select("id", merge.rename_subtree(c("name"), "Law", "Recht\x1fLaw").alias("name"))
 
 
+@query("m27_removed_decks", f", x AS (SELECT id FROM d WHERE name = 'Law' OR starts_with(name, 'Law' || chr(31))) SELECT id AS oid, 2 AS type FROM x UNION ALL SELECT id, 0 FROM c WHERE did IN (SELECT id FROM x) OR (odid <> 0 AND odid IN (SELECT id FROM x))")
+def removed_decks(spark: SparkSession, d: str) -> DataFrame:
+    """Tombstones of a deck, the decks below it, and their cards, those away in filtered decks included."""
+    gone = base.decks(spark, d).where((c("name") == "Law") | F.startswith("name", F.lit("Law\x1f"))).select("id")
+    cards = base.cards(spark, d).select("id", F.explode(F.array_distinct(F.array("did", "odid"))).alias("deck_")).join(F.broadcast(gone.select(c("id").alias("deck_"))), "deck_", "left_semi")
+    return gone.select(c("id").alias("oid"), F.lit(2).alias("type")).unionByName(cards.select(c("id").alias("oid"), F.lit(0).alias("type")).distinct())
+
+
 @query("m28_removed_notes", ", x AS (SELECT id FROM n WHERE regexp_matches(tags, '(?i).* leech(::| ).*')) SELECT id AS oid, 1 AS type FROM x UNION ALL SELECT id, 0 FROM c WHERE nid IN (SELECT id FROM x)")
 def removed_notes(spark: SparkSession, d: str) -> DataFrame:
     """Tombstones of notes with a tag and of their cards."""

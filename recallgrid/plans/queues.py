@@ -233,6 +233,22 @@ def limit_tree(spark: SparkSession, d: str) -> DataFrame:
     return up.join(own.select(c("name").alias("above"), "review", "new"), "above").groupBy("id", "name").agg(F.min("review").alias("review"), F.min("new").alias("new"))
 
 
+@query("m24_deck_stats", f"""
+, seen AS (SELECT cid, min(id) AS first_, count(*) FILTER (id > {TODAY_MS} AND type = 1) AS reviews, sum(CASE WHEN id > {TODAY_MS} THEN time ELSE 0 END) AS ms, max(id) AS last_ FROM r WHERE cid IS NOT NULL AND ease > 0 GROUP BY cid),
+own AS (SELECT {HOME} AS did, count(*) FILTER (first_ > {TODAY_MS}) AS new, sum(reviews) AS review, sum(ms) AS ms FROM seen JOIN c ON c.id = seen.cid WHERE last_ > {TODAY_MS} GROUP BY 1),
+dp AS (SELECT d.id, string_split(d.name, chr(31)) AS path, own.* FROM d JOIN own ON own.did = d.id), up AS (SELECT dp.*, array_to_string(path[1:k], chr(31)) AS above FROM dp, (SELECT unnest(range(1, 100)) AS k) WHERE k <= len(path))
+SELECT above AS name, CAST(sum(new) AS BIGINT) AS new, CAST(sum(review) AS BIGINT) AS review, CAST(sum(ms) AS BIGINT) AS ms FROM up GROUP BY above""")
+def deck_stats(spark: SparkSession, d: str) -> DataFrame:
+    """What was studied today in each deck and the decks below it: new cards, reviews and time."""
+    rows = base.revlog(spark, d).where(c("cid").isNotNull() & (c("ease") > 0))
+    today = c("id") > TODAY_MS
+    seen = rows.groupBy("cid").agg((F.min("id") > TODAY_MS).cast("int").alias("new"), F.count_if(today & (c("type") == 1)).alias("review"), F.sum(F.when(today, c("time")).otherwise(0)).alias("ms"), F.max("id").alias("last_")).where(c("last_") > TODAY_MS)
+    home = base.cards(spark, d).select("id", F.when(c("odid") == 0, c("did")).otherwise(c("odid")).alias("did"))
+    own = seen.join(home, c("cid") == c("id")).groupBy("did").agg(*[F.sum(x).alias(x) for x in ("new", "review", "ms")])
+    named = own.join(base.decks(spark, d).select(c("id").alias("did"), "name"), "did")
+    return hi.rolled_up(named, "name", ["new", "review", "ms"])
+
+
 def limited_sql(select: str, kind: str, order: str, depth: int = 4) -> str:
     """Rows (id, ..., name) that the limits of all levels allow, from the deepest level up."""
     steps = [f"x{depth} AS (SELECT *, string_split(name, chr(31)) AS path FROM ({select}))"]

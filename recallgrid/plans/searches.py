@@ -186,6 +186,35 @@ def revlog_of_search(spark: SparkSession, d: str) -> DataFrame:
     return col.revlog.where(c("id") >= ms(60)).join(ids, "cid", "left_semi").select("id", *base.REVIEW).orderBy("cid", "id")
 
 
+@query("src4_revlog_after", f"SELECT * FROM r WHERE id >= {ms(30)}")
+def revlog_after(spark: SparkSession, d: str) -> DataFrame:
+    """Reviews since a day, by time; the bound reaches the scan."""
+    return base.revlog(spark, d).where(c("id") >= ms(30)).select("id", *base.REVIEW).orderBy("id")
+
+
+HOT_SQL = "(SELECT cid FROM r WHERE cid IS NOT NULL GROUP BY cid ORDER BY count(*) DESC, cid LIMIT 1)"
+
+
+@query("src4_revlog_of_card", f"SELECT * FROM r WHERE cid = {HOT_SQL}")
+def revlog_of_card(spark: SparkSession, d: str) -> DataFrame:
+    """All reviews of one card, the one with the most."""
+    rows = base.revlog(spark, d)
+    hot = rows.where(c("cid").isNotNull()).groupBy("cid").count().orderBy(c("count").desc(), "cid").limit(1).select("cid")
+    return rows.join(F.broadcast(hot), "cid", "left_semi").select("id", *base.REVIEW)
+
+
+@query("src4_revlog_in_card_order", "SELECT *, row_number() OVER (ORDER BY cid NULLS FIRST, id) AS rank FROM r")
+def revlog_in_card_order(spark: SparkSession, d: str) -> DataFrame:
+    """All reviews in card order with their places."""
+    return numbered(base.revlog(spark, d).select("id", *base.REVIEW), [c("cid").asc(), c("id").asc()], "rank")
+
+
+@query("src4_studied_days", f"SELECT DISTINCT CAST(floor((id // 1000 - {T.next_day_at}) / 86400.0) AS BIGINT) AS day FROM r WHERE type NOT IN (4, 5)")
+def studied_days(spark: SparkSession, d: str) -> DataFrame:
+    """Days with an answer, by days from the next rollover."""
+    return base.revlog(spark, d).where(~c("type").isin(4, 5)).select(F.floor((F.floor(c("id") / 1000) - T.next_day_at) / 86_400).cast("bigint").alias("day")).distinct()
+
+
 # --- orders ----------------------------------------------------------------------------------------------------------
 
 def now_due(p: str = "c.") -> Column:

@@ -67,6 +67,12 @@ def checksum_mismatch(spark: SparkSession, d: str) -> DataFrame:
     return base.notes(spark, d).where(c("csum").isNull() | (c("csum") != tx.field_checksum(c("sfld")))).select("id")
 
 
+@query("t12_normalized_fields", r"SELECT id, nfc_normalize(regexp_replace(sfld, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g')) AS sfld FROM n")
+def normalized_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Sort fields without control characters, composed."""
+    return base.notes(spark, d).select("id", tx.normalized_field(c("sfld")).alias("sfld"))
+
+
 @query("t13_first_field_states", f"""
 , f AS (SELECT id, mid, flds, {first_sql('flds')} AS f FROM n), k AS (SELECT mid, f, count(*) AS k FROM f GROUP BY 1, 2)
 SELECT f.id, CASE WHEN f.f = '' THEN 'empty' WHEN k.k > 1 THEN 'duplicate' WHEN t.config LIKE '%"cloze"%' AND NOT regexp_matches(f.flds, '\\{{\\{{c[1-9]') THEN 'missing_cloze' WHEN t.config NOT LIKE '%"cloze"%' AND regexp_matches(f.flds, '\\{{\\{{c[1-9]') THEN 'no_cloze_type' ELSE 'normal' END AS state
@@ -149,11 +155,14 @@ def generated(spark: SparkSession, d: str) -> DataFrame:
     return col.notes.select("id", "mid", "flds").mapInArrow(_generator(types), "nid bigint, ord int, question string, answer string")
 
 
-@query("c6_generated_cards", r"""
+GENERATED_SQL = r"""
 , t AS (SELECT id, min(name) AS name, min(config) AS config FROM notetypes GROUP BY id), f AS (SELECT n.id, t.name, t.config, n.flds, string_split(n.flds, chr(31)) AS x FROM n JOIN t ON t.id = n.mid)
 SELECT id AS nid, 0 AS ord FROM f WHERE config NOT LIKE '%"cloze"%' AND NOT regexp_full_match(coalesce(x[1], ''), '(?is)(?:\s|</?(?:br|div)\s*/?>)*')
 UNION ALL SELECT id, 1 FROM f WHERE name LIKE '%reversed%' AND NOT regexp_full_match(coalesce(x[2], ''), '(?is)(?:\s|</?(?:br|div)\s*/?>)*')
-UNION ALL SELECT DISTINCT id, unnest(list_transform(regexp_extract_all(flds, '\{\{c(\d+)::', 1), lambda v: v::INTEGER - 1)) FROM f WHERE config LIKE '%"cloze"%'""")
+UNION ALL SELECT DISTINCT id, unnest(list_transform(regexp_extract_all(flds, '\{\{c(\d+)::', 1), lambda v: v::INTEGER - 1)) FROM f WHERE config LIKE '%"cloze"%'"""
+
+
+@query("c6_generated_cards", GENERATED_SQL)
 def generated_cards(spark: SparkSession, d: str) -> DataFrame:
     return generated(spark, d).select("nid", "ord")
 
@@ -164,7 +173,7 @@ def rendered_cards(spark: SparkSession, d: str) -> DataFrame:
     return generated(spark, d)
 
 
-@query("q14_empty_cards")
+@query("q14_empty_cards", GENERATED_SQL.replace("SELECT id AS nid", "SELECT k.id FROM c k JOIN n ON n.id = k.nid WHERE NOT EXISTS (SELECT 1 FROM (SELECT id AS nid", 1) + ") g WHERE g.nid = k.nid AND g.ord = k.ord)")
 def empty_cards(spark: SparkSession, d: str) -> DataFrame:
     """Cards that their templates no longer give."""
     cards = base.cards(spark, d).select("id", "nid", "ord")
