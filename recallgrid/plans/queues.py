@@ -41,7 +41,27 @@ def tree_counts(spark: SparkSession, d: str) -> DataFrame:
 PRESET_LIMITS = {1: hi.Limit(200, 20), 2: hi.Limit(15, 5), 3: hi.Limit(40, 10, True), 4: hi.Limit(9999, 3)}
 
 
-@query("h3_capped_tree")
+def capped_tree_sql(depth: int = 4) -> str:
+    """The fold by levels from the deepest up; limits are those of a deck and of all that exist above it."""
+    presets = ", ".join(f"({k}, {x.review}, {x.new}, {str(x.new_within_review).lower()})" for k, x in PRESET_LIMITS.items())
+    config = "TRY_CAST(json_extract_string(CASE WHEN json_valid(d.kind) THEN d.kind END, '$.normal.config_id') AS INTEGER)"
+    steps = [
+        f"lim AS (SELECT d.name, coalesce(p.rl, 9999) AS rl, coalesce(p.nl, 9999) AS nl, coalesce(p.within, false) AS within FROM d LEFT JOIN (VALUES {presets}) p(config, rl, nl, within) ON p.config = {config})",
+        "eff AS (SELECT k.name, min(a.rl) AS rl, min(a.nl) AS nl, any_value(k.within) AS within FROM lim k JOIN lim a ON a.name = k.name OR starts_with(k.name, a.name || chr(31)) GROUP BY k.name)",
+        f"b AS (SELECT d.name, len(string_split(d.name, chr(31))) AS lvl, array_to_string(string_split(d.name, chr(31))[1:-2], chr(31)) AS parent, rl, nl, within, {', '.join(f'coalesce(k.{x}, 0) AS {x}' for x in COUNTS)} FROM d JOIN eff USING (name) LEFT JOIN {COUNTS_SQL} k ON k.did = d.id)",
+        "known AS (SELECT * FROM b WHERE lvl = 1 OR parent IN (SELECT name FROM d))",
+        f"o{depth + 1} AS (SELECT name, parent, new, review, intraday, interday, total FROM known WHERE false)",
+    ]
+    for level in range(depth, 0, -1):
+        sums = ", ".join(f"any_value(k.{x}) + coalesce(sum(u.{x}), 0) AS {x}" for x in COUNTS)
+        steps.append(f"s{level} AS (SELECT k.name, any_value(k.parent) AS parent, any_value(rl) AS rl, any_value(nl) AS nl, any_value(within) AS within, {sums} FROM known k LEFT JOIN o{level + 1} u ON u.parent = k.name WHERE lvl = {level} GROUP BY k.name)")
+        steps.append(f"i{level} AS (SELECT * REPLACE (least(interday, rl) AS interday, least(review, rl - least(interday, rl)) AS review) FROM s{level})")
+        steps.append(f"o{level} AS (SELECT name, parent, CASE WHEN within THEN least(new, nl, greatest(rl - interday - review, 0)) ELSE least(new, nl) END AS new, review, intraday, interday, total FROM i{level})")
+    whole = " UNION ALL ".join(f"SELECT name, CAST(new AS BIGINT) AS new, CAST(review AS BIGINT) AS review, CAST(intraday + interday AS BIGINT) AS learn, CAST(total AS BIGINT) AS total FROM o{level}" for level in range(1, depth + 1))
+    return ", " + ", ".join(steps) + " " + whole
+
+
+@query("h3_capped_tree", capped_tree_sql())
 def capped_tree(spark: SparkSession, d: str) -> DataFrame:
     """Counts of each deck with its children under daily limits; the fold runs over one row per deck, a dimension."""
     col = base.collection(spark, d)

@@ -10,8 +10,8 @@ from recallgrid.model import CLOCK as T
 from recallgrid.plans import base
 from recallgrid.plans.base import query
 from recallgrid.plans.queues import interspersed
-from recallgrid.plans.searches import deck_sql, filtered_cards, in_order, rank_sql
-from recallgrid.plans.stats import HOME, count
+from recallgrid.plans.searches import FILTERED_ORDERS, HASH_KEY, deck_sql, filtered_cards, in_order, keyed_sql, rank_sql
+from recallgrid.plans.stats import HOME, LEARN_CUTOFF, count
 from recallgrid.search.compile import search_cards
 from recallgrid.tables import table
 
@@ -106,7 +106,19 @@ def mixed_queue(spark: SparkSession, d: str) -> DataFrame:
     return interspersed(a, b, n1, n2).select("id", "source", F.round("place", 9).alias("place"))
 
 
-@query("q7_filtered_deck")
+def filtered_sql(condition: str, order: str, limit: int = 100) -> str:
+    """The first cards of a filtered deck's search in one of its orders."""
+    keys = [*FILTERED_ORDERS[order], HASH_KEY]
+    rows = keyed_sql(f"(SELECT c.*, NULL AS last_review FROM c WHERE queue NOT IN (-1, -2, -3) AND odid = 0 AND ({condition}))", keys)
+    return f"SELECT id FROM ({rows}) WHERE rank <= {limit}"
+
+
+DUE_NOW = f"(queue IN (2, 3) AND due <= {T.days_elapsed}) OR (queue IN (1, 4) AND due <= {LEARN_CUTOFF})"
+
+
+@query("q7_filtered_deck", f"""
+, a AS (SELECT id, 0 AS term FROM ({filtered_sql(DUE_NOW, 'relative_overdueness')}) UNION ALL SELECT id, 1 FROM ({filtered_sql('lapses >= 1', 'lapses')})), k AS (SELECT id, min(term) AS term FROM a GROUP BY id)
+SELECT k.id, term, row_number() OVER (ORDER BY term, c.due, k.id) - 100001 AS position FROM k JOIN c ON c.id = k.id""")
 def filtered_deck(spark: SparkSession, d: str, limit: int = 100) -> DataFrame:
     """The cards of a filtered deck of two searches with their positions from -100000; the limit is the feature."""
     first = filtered_cards(spark, d, "is:due", "relative_overdueness", limit).select("id", "due", F.lit(0).alias("term"))
