@@ -27,7 +27,7 @@ MAX_LABELLED = 20_000
 #: Words are common if one in so many different sentences of all documents has them, and frames if one in so many has them;
 #: both at least LEAST. So at most that many frames are common, and that many times the average length of a sentence words,
 #: whatever the number of documents.
-COMMON_WORDS, COMMON_FRAMES, LEAST = 500, 20_000, 5
+COMMON_WORDS, COMMON_FRAMES, LEAST = 500, 10_000, 5
 #: Different words or frames that a task counts before it hands their counts on.
 COUNTED = 500_000
 #: Rows of the table of subword scores: so many that few of the training's subwords share one with another; and the length
@@ -56,7 +56,7 @@ MADE_WORDS = 6_000
 #: Words in a window; sentences longer than that are also judged window by window.
 WINDOW, STRIDE = 9, 2
 #: A document is a case if a sentence is this unlikely to be clean.
-THRESHOLD = 0.2
+THRESHOLD = 0.3
 #: Different words whose sums of vectors a task keeps, and words that are scored in one go.
 CACHE_WORDS, CALL_WORDS = 200_000, 100_000
 
