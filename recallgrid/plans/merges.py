@@ -66,6 +66,13 @@ def deck_merge(spark: SparkSession, d: str) -> DataFrame:
     return merge.sync_dimension(rows.where(c("usn") <= 30), rows.where(c("usn") > 30)).select("id", "mtime_secs")
 
 
+@query("m6_notetype_merge", "SELECT id, arg_max(name, (mtime_secs, usn > 30)) AS name FROM (SELECT DISTINCT id, name, mtime_secs, usn FROM notetypes) GROUP BY id")
+def notetype_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Note types of two sides, the newer by modification time."""
+    rows = table(spark, d, "notetypes", "id", "name", "mtime_secs", "usn").distinct()
+    return merge.sync_dimension(rows.where(c("usn") <= 30), rows.where(c("usn") > 30)).select("id", "name")
+
+
 @query("m7_graves_applied", "SELECT id FROM notes WHERE id NOT IN (SELECT oid FROM graves WHERE type = 1) GROUP BY id")
 def graves_applied(spark: SparkSession, d: str) -> DataFrame:
     """Notes without all that were ever deleted."""
@@ -95,6 +102,24 @@ def export_decks(spark: SparkSession, d: str) -> DataFrame:
     return base.decks(spark, d).join(used, "id", "left_semi").select(F.explode(hi.prefixes(hi.path_of(c("name"), "\x1f"))).alias("name")).distinct()
 
 
+@query("m10_export_notetypes", f"SELECT DISTINCT t.id, t.name, x.ord, x.name AS field FROM notetypes t JOIN notetype_fields x ON x.ntid = t.id WHERE t.id IN (SELECT mid FROM n WHERE id IN (SELECT nid FROM c WHERE {deck_sql('law')}))")
+def export_notetypes(spark: SparkSession, d: str) -> DataFrame:
+    """Note types of a search for export, with their fields."""
+    col = base.collection(spark, d)
+    nids = col.cards.join(find_cards(col, "deck:law"), "id", "left_semi").select(c("nid").alias("id"))
+    used = col.notes.join(nids, "id", "left_semi").select(c("mid").alias("id")).where(c("id").isNotNull()).distinct()
+    fields = table(spark, d, "notetype_fields", "ntid", "ord", "name").select(c("ntid").alias("id"), "ord", c("name").alias("field"))
+    return table(spark, d, "notetypes", "id", "name").join(F.broadcast(used), "id", "left_semi").join(fields, "id").distinct()
+
+
+@query("m10_export_presets", f"SELECT DISTINCT TRY_CAST(json_extract_string(CASE WHEN json_valid(kind) THEN kind END, '$.normal.config_id') AS INTEGER) AS preset FROM d WHERE id IN (SELECT did FROM c WHERE {deck_sql('law')})")
+def export_presets(spark: SparkSession, d: str) -> DataFrame:
+    """Presets of the decks of a search for export."""
+    col = base.collection(spark, d)
+    used = col.cards.join(find_cards(col, "deck:law"), "id", "left_semi").select(c("did").alias("id"))
+    return base.decks(spark, d).join(used, "id", "left_semi").select(F.get_json_object("kind", "$.normal.config_id").try_cast("int").alias("preset")).distinct()
+
+
 @query("m11_text_import", f"""
 , x AS (SELECT id, mid, CASE WHEN id % 2 = 1 THEN nullif(guid, '') END AS key, guid, usn > {SIDE} OR usn = -1 AS newer, {first_sql('flds')} AS f FROM n), i AS (SELECT * FROM x WHERE newer),
 g AS (SELECT guid, min(id) AS nid FROM x WHERE NOT newer GROUP BY 1), o AS (SELECT mid, f, min(id) AS nid, count(*) AS k FROM x WHERE NOT newer GROUP BY 1, 2)
