@@ -67,3 +67,13 @@ def test_hash_as_sql():
 
     for a, b in ((0, 0), (1_752_394_711_927, 5_000), (1 << 40, 1_759_370_000)):
         assert duckdb.connect().execute(f"SELECT {tx.fnv_sql(str(a), str(b))}").fetchone()[0] == tx.fnv1a(a, b)
+
+
+@pytest.mark.parametrize("name", ["p6_found", "p6_state"])
+def test_state_of_the_feed_reads_only_the_feed(spark, name):
+    """Without a commit log nothing is held back, so nothing is read, counted or kept to find out what to hold."""
+    import __spark_entry__ as entry
+
+    text = plan(entry.queries()[name](spark, SMALL))
+    assert set(re.findall(r"/(\w+)\.parquet", text)) == {"cards", "graves"}
+    assert "Subquery" not in text and "ExistingRDD" not in text
